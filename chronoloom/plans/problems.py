@@ -3,20 +3,75 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronoloom.operators.interval_map import periods_and_gaps
+from chronoloom.operators.records import latest_delivery
+from chronoloom.operators.schema_drift import changes, consistent_fields, declarations
 from chronoloom.session import table
 
 
+def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The declaration of each full_name that counts in each capture, with the capture's app and start."""
+    named = F.coalesce("full_name", F.concat("logger", F.lit("."), "name"))
+    types = table(spark, sf_dir, "event_types").select("capture_id", named.alias("full_name"), "seq", "fields", "ingested_at")
+    captures = latest_delivery(table(spark, sf_dir, "captures"), ["capture_id"], "ingested_at", ["app", "started_at"])
+    return declarations(types, ["capture_id"], "full_name", "seq", "ingested_at").join(captures, "capture_id")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each change of a declared field or full_name from one capture of an app to the next."""
+    found = changes(_declared(spark, sf_dir), "app", "full_name", "capture_id", ["started_at", "capture_id"])
+    return found.select("capture_id", "full_name", "field_name", "change")
+
+
+def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every declared field with the type that holds all its types in the app."""
+    fields = consistent_fields(_declared(spark, sf_dir), "app", "full_name", "capture_id")
+    return fields.withColumnRenamed("name", "field_name").withColumn("offset", F.col("offset").cast("long"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods and gaps of GPU work per capture, queue and kind."""
     spans = table(spark, sf_dir, "gpu_spans").where("begin_us > 0")
     return periods_and_gaps(spans, ["capture_id", "queue", "kind"], "begin_us", "end_us")
 
 
-QUERIES = {f.__name__: f for f in (p4_found,)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p4_found)}
+
+_DECLARED = """
+WITH c AS (SELECT capture_id, arg_max(app, ingested_at) AS app, arg_max(started_at, ingested_at) AS started_at FROM captures GROUP BY capture_id),
+t AS (SELECT capture_id, coalesce(full_name, logger || '.' || name) AS full_name, seq, ingested_at, fields FROM event_types WHERE fields IS NOT NULL),
+d AS (SELECT capture_id, full_name, fields, app, started_at FROM (
+  SELECT *, row_number() OVER (PARTITION BY capture_id, full_name ORDER BY seq DESC, ingested_at DESC) AS k FROM t) JOIN c USING (capture_id)
+  WHERE k = 1 AND full_name IS NOT NULL)
+"""
 
 ORACLES = {
+    "p1_found": _DECLARED
+    + """,
+o AS (SELECT *, row_number() OVER (PARTITION BY app, full_name ORDER BY started_at, capture_id) AS n FROM d),
+f AS (SELECT app, full_name, n, capture_id, x.name AS fname, x."offset" AS off, x.type_name AS ty, x.index AS ix FROM (SELECT *, unnest(fields) AS x FROM o)),
+come AS (SELECT b.*, row_number() OVER (PARTITION BY b.app, b.full_name, b.n, b.off, b.ty ORDER BY b.ix) AS r FROM f b
+  WHERE b.n > 1 AND NOT EXISTS (SELECT 1 FROM f a WHERE a.app = b.app AND a.full_name = b.full_name AND a.n = b.n - 1 AND a.fname = b.fname)),
+gone AS (SELECT o.app, o.full_name, o.n, o.capture_id, a.fname, a.off, a.ty,
+    row_number() OVER (PARTITION BY a.app, a.full_name, o.n, a.off, a.ty ORDER BY a.ix) AS r
+  FROM f a JOIN o ON o.app = a.app AND o.full_name = a.full_name AND o.n = a.n + 1
+  WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.app = a.app AND b.full_name = a.full_name AND b.n = a.n + 1 AND b.fname = a.fname)),
+kept AS (SELECT b.capture_id, b.full_name, b.fname, a.off AS aoff, b.off AS boff, a.ty AS aty, b.ty AS bty
+  FROM f a JOIN f b ON a.app = b.app AND a.full_name = b.full_name AND b.n = a.n + 1 AND a.fname = b.fname),
+lives AS (SELECT app, full_name, min(started_at) AS first, max(started_at) AS last, arg_min(capture_id, started_at) AS capture_id,
+  arg_min(list_transform(fields, lambda x: (x.name, x."offset", x.type_name)), started_at) AS began,
+  arg_max(list_transform(fields, lambda x: (x.name, x."offset", x.type_name)), started_at) AS ended FROM d GROUP BY app, full_name)
+SELECT c.capture_id, c.full_name, c.fname AS field_name, CASE WHEN g.fname IS NULL THEN 'added' ELSE 'renamed' END AS change
+  FROM come c LEFT JOIN gone g ON c.app = g.app AND c.full_name = g.full_name AND c.n = g.n AND c.off = g.off AND c.ty = g.ty AND c.r = g.r
+UNION ALL SELECT g.capture_id, g.full_name, g.fname, 'removed' FROM gone g
+  ANTI JOIN come c ON c.app = g.app AND c.full_name = g.full_name AND c.n = g.n AND c.off = g.off AND c.ty = g.ty AND c.r = g.r
+UNION ALL SELECT capture_id, full_name, fname, 'retyped' FROM kept WHERE aty <> bty
+UNION ALL SELECT capture_id, full_name, fname, 'moved' FROM kept WHERE aoff <> boff
+UNION ALL SELECT b.capture_id, b.full_name, '', 'type_renamed' FROM lives b
+  WHERE EXISTS (SELECT 1 FROM lives a WHERE a.app = b.app AND a.full_name <> b.full_name AND a.ended = b.began AND a.last < b.first)
+""",
     "p4_found": """
 WITH s AS (SELECT DISTINCT capture_id, queue, kind, begin_us, end_us FROM gpu_spans WHERE begin_us > 0 AND end_us > begin_us),
 m AS (SELECT *, max(end_us) OVER (PARTITION BY capture_id, queue, kind ORDER BY begin_us, end_us
