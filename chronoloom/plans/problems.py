@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators.interval_map import periods_and_gaps
-from chronoloom.operators.records import latest_delivery
+from chronoloom.operators.records import latest_delivery, micros
 from chronoloom.operators.schema_drift import changes, consistent_fields, declarations
+from chronoloom.operators.spikes import implausible
 from chronoloom.session import table
 
 
@@ -31,13 +32,68 @@ def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.withColumnRenamed("name", "field_name").withColumn("offset", F.col("offset").cast("long"))
 
 
+#: Least and greatest value of each unit of csv_stats, and whether it counts whole things.
+UNITS = {
+    "ms": (0.0, 1e6, False),
+    "count": (0.0, 2.0**31 - 1, True),
+    "mb": (0.0, 1e7, False),
+    "percent": (0.0, 100.0, False),
+    "celsius": (-273.15, 1000.0, False),
+}
+
+
+def _impossible(value: Column, unit: Column) -> Column:
+    """Whether a unit rules a value out; an unknown unit rules out none."""
+    ruled = F.lit(False)
+    for name, (low, high, whole) in UNITS.items():
+        outside = (value < low) | (value > high)
+        ruled = F.when(unit == name, outside | (value != F.rint(value)) if whole else outside).otherwise(ruled)
+    return ruled
+
+
+def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of all three tables with source, order, id, value and impossible, as they were delivered."""
+    captures = latest_delivery(table(spark, sf_dir, "captures"), ["capture_id"], "ingested_at", ["app", "started_at", "hitches", "frame_count"])
+    hitches = captures.select(
+        F.concat(F.lit("captures/"), "app").alias("source"),
+        micros(F.col("started_at")).alias("order"),
+        F.col("capture_id").alias("id"),
+        F.col("hitches").cast("double").alias("value"),
+        ((F.col("hitches") < 0) | (F.col("hitches") > F.col("frame_count"))).alias("impossible"),
+    )
+    frames = table(spark, sf_dir, "frames").select(
+        F.concat_ws("/", F.lit("frames"), "capture_id", "tid").alias("source"),
+        F.col("begin_cycle").alias("order"),
+        F.col("frame_id").alias("id"),
+        F.col("milliseconds").alias("value"),
+        # a frame takes some time
+        ((F.col("milliseconds") <= 0) | (F.col("milliseconds") > UNITS["ms"][1])).alias("impossible"),
+    )
+    units = table(spark, sf_dir, "csv_stats").groupBy("stat").agg(F.max("unit").alias("unit"))
+    values = table(spark, sf_dir, "csv_values").join(units, "stat", "left")
+    stats = values.select(
+        F.concat_ws("/", F.lit("csv_values"), "capture_id", "stat").alias("source"),
+        F.col("seq").alias("order"),
+        F.col("value_id").alias("id"),
+        F.col("value"),
+        _impossible(F.col("value"), F.col("unit")).alias("impossible"),
+    )
+    return hitches.unionByName(frames).unionByName(stats)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spikes, stuck runs and impossible readings of hitches, frame times and stat values."""
+    found = implausible(_readings(spark, sf_dir))
+    return found.select(F.substring_index("source", "/", 1).alias("source_table"), F.col("id").alias("row_id"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Continuous periods and gaps of GPU work per capture, queue and kind."""
     spans = table(spark, sf_dir, "gpu_spans").where("begin_us > 0")
     return periods_and_gaps(spans, ["capture_id", "queue", "kind"], "begin_us", "end_us")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p4_found)}
 
 _DECLARED = """
 WITH c AS (SELECT capture_id, arg_max(app, ingested_at) AS app, arg_max(started_at, ingested_at) AS started_at FROM captures GROUP BY capture_id),
