@@ -74,15 +74,15 @@ def _departure(x: list[float], a: int, b: int, skip: list[bool], ends: bool) ->
     """How far all readings from a to b depart, in one direction, from the level before and from the level after.
 
     A level is the median of the SIDE readings next to them that are not to be skipped. At the very first or last
-    reading of a source only one level is there: it must be left by at most WIDEST - 1 readings, and the nearest three
-    readings and the drift that they show must say the same.
+    reading of a source only one level is there: the nearest three readings and the drift that they show must then say
+    the same.
     """
     n, part = len(x), x[a:b]
     left = [x[i] for i in range(a - 1, max(-1, a - 1 - SIDE - WIDEST), -1) if not skip[i]][:SIDE]
     right = [x[i] for i in range(b, min(n, b + SIDE + WIDEST)) if not skip[i]][:SIDE]
     if left and right:
         levels = [_middle(left), _middle(right)]
-    elif ends and (a == 0 and len(right) >= 3 or b == n and len(left) >= 3) and b - a < WIDEST:
+    elif ends and (a == 0 and len(right) >= 3 or b == n and len(left) >= 3):
         one = right or left
         near, far = _middle(one[:3]), _middle(one[-3:])
         drift = (near - far) / max(1, len(one) - 3)
@@ -173,16 +173,22 @@ def spikes(x: np.ndarray, at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
     scale = max(flat_scale, quantum / 3, 1e-6 * _median(np.abs(y)), 1e-300)
     edges = np.zeros(n, bool)
     for reach in RESOLUTIONS:
-        edges |= np.abs(details(y, reach)) > STEP * scale / np.sqrt(reach)
+        size = np.abs(details(y, reach))
+        edge_here = size > STEP * scale / np.sqrt(reach)
+        if reach > 1:  # a coarser detail also rises beside an edge: only its peaks count
+            beside = np.pad(size, 1)
+            edge_here &= (size >= beside[:-2]) & (size >= beside[2:])
+        edges |= edge_here
     edges[0] = True
     opening, edge, held, taken, sticking = np.flatnonzero(edges).tolist(), edges.tolist(), y.tolist(), found.tolist(), fixed.tolist()
-    for ends in (False, False, True):  # found readings are no background for others, and ends are judged last
+    # found readings are no background for others: the strongest come first, and the ends last
+    for limit, ends in ((4 * SPIKE, False), (2 * SPIKE, False), (SPIKE, False), (SPIKE, True)):
         for a in opening:
-            for width in range(1, WIDEST + 1):
+            for width in range(WIDEST, 0, -1):
                 b = a + width
                 if b > n or all(taken[a:b]) or any(sticking[a:b]):
-                    break
-                if (b == n or edge[b]) and _departure(held, a, b, taken, ends) > SPIKE * scale:
+                    continue
+                if (b == n or edge[b]) and _departure(held, a, b, taken, ends) > limit * scale:
                     taken[a:b] = [True] * width
                     break
     return np.array(taken)
