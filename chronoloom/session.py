@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import pathlib
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per context, where they may not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_chronoloom_shipped", False):
+        return
+    here = pathlib.Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="chronoloom-")  # the driver serves it to the executors
+    archive = shutil.make_archive(os.path.join(folder, here.name), "zip", here.parent, here.name)
+    context.addPyFile(archive)
+    context._chronoloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
