@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.llm.nearest_time import nearest
 from chronoloom.llm.packing import pack
 from chronoloom.llm.quantile_sketch import merge, percentiles, sketches
+from chronoloom.llm.sentences import sentence_ends
 from chronoloom.llm.tokens import token_counts, token_ids
 from chronoloom.llm.top_n import top_n
 from chronoloom.operators.records import latest_delivery
@@ -78,7 +79,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(sizes, "doc_id", "tokens", CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_percentiles, p5_daily, p6_found, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of every sentence spoken in every text."""
+    return sentence_ends(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_percentiles, p5_daily, p6_found, p7_ids, p8_containers, p9_found)}
 
 # Oracles on DuckDB: a plain window for the bands of p6, a plain inequality join for the shards of p3.
 ORACLES = {
