@@ -43,7 +43,7 @@ def distribution(df: DataFrame, by: Sequence[str], value: str, budget: float) ->
     rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
     return df.where(x.isNotNull()).groupBy(*by).agg(
         F.count(x).alias("n"),
-        F.avg(x.cast("decimal(20,6)")).cast("double").alias("mean"),
+        (F.sum(x.cast("decimal(20,6)")).cast("double") / F.count(x)).alias("mean"),
         F.min(x).alias("least"),
         rank(0.5).alias("p50"),
         rank(0.95).alias("p95"),
