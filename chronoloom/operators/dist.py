@@ -34,16 +34,16 @@ def milliseconds(b: Column, e: Column, frequency: Column) -> Column:
     return (e - b) * F.lit(1000.0) / F.nullif(frequency, F.lit(0))
 
 
-def distribution(df: DataFrame, by: Sequence[str], value: str, budget: float) -> DataFrame:
+def distribution(df: DataFrame, by: Sequence[str], value: str, budget: float, mean: Column | None = None) -> DataFrame:
     """count, mean, min, p50, p95, p99 (nearest ranks), max, over budget and hitches; nulls are not counted.
 
-    The mean adds millionths as whole numbers, so that it does not depend on the order of rows.
+    mean may give the aggregate that makes the mean, such as one over whole ticks that no order of rows can change.
     """
     x = F.col(value)
     rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
     return df.where(x.isNotNull()).groupBy(*by).agg(
         F.count(x).alias("n"),
-        (F.sum(x.cast("decimal(20,6)")).cast("double") / F.count(x)).alias("mean"),
+        (F.avg(x) if mean is None else mean).alias("mean"),
         F.min(x).alias("least"),
         rank(0.5).alias("p50"),
         rank(0.95).alias("p95"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions.scalars import at_cap, contains_any, flag_names, scope_kind
 from chronoloom.operators.asof import backward
 from chronoloom.operators.calltree import rollup, self_times
-from chronoloom.operators.dist import busiest, distribution, histogram
+from chronoloom.operators.dist import busiest, distribution, histogram, milliseconds
 from chronoloom.operators.graph import longest_chains
 from chronoloom.operators.intervals import overlap_join, union_length
 from chronoloom.operators.records import latest_delivery
@@ -36,7 +36,7 @@ def once(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames with their capture's frequency; ms from the clock, null for a frame that never closed."""
     clock = captures(spark, sf_dir).select("capture_id", "app", "build_version", "cycle_frequency")
-    ms = F.round((F.col("end_cycle") - F.col("begin_cycle")) * F.lit(1000.0) / F.col("cycle_frequency"), 6)
+    ms = milliseconds(F.col("begin_cycle"), F.col("end_cycle"), F.col("cycle_frequency"))
     return once(spark, sf_dir, "frames", "frame_id").join(clock, "capture_id").withColumn("ms", F.when(F.col("end_cycle") > F.col("begin_cycle"), ms))
 
 
@@ -54,7 +54,8 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def frame_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(distribution(frames(spark, sf_dir), ["capture_id", "tid", "frame_type"], "ms", BUDGET), "p50", "p95", "p99", "least", "most")
+    mean = F.sum(F.col("end_cycle") - F.col("begin_cycle")) * F.lit(1000.0) / (F.max("cycle_frequency") * F.count(F.lit(1)))
+    return distribution(frames(spark, sf_dir), ["capture_id", "tid", "frame_type"], "ms", BUDGET, mean)
 
 
 def frame_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -356,7 +357,7 @@ _FR = (
     _C
     + """,
 d AS (SELECT DISTINCT ON (frame_id) * FROM frames),
-fr AS (SELECT d.*, c.app, c.f, CASE WHEN end_cycle > begin_cycle THEN round((end_cycle - begin_cycle) * 1000.0::DOUBLE / f, 6) END AS ms FROM d JOIN c USING (capture_id)),
+fr AS (SELECT d.*, c.app, c.f, CASE WHEN end_cycle > begin_cycle THEN (end_cycle - begin_cycle) * 1000.0::DOUBLE / f END AS ms FROM d JOIN c USING (capture_id)),
 win AS (SELECT *, begin_cycle * 1000000 // f AS b, end_cycle * 1000000 // f AS e FROM fr WHERE ms IS NOT NULL AND end_cycle * 1000000 // f > begin_cycle * 1000000 // f)
 """
 )
@@ -397,7 +398,7 @@ QUERIES = {
 
 ORACLES = {
     "frame_distribution": _FR
-    + f"""SELECT capture_id, tid, frame_type, count(*) AS n, CAST(sum(CAST(ms AS DECIMAL(20, 6))) AS DOUBLE) / count(*) AS mean, min(ms) AS least, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95,
+    + f"""SELECT capture_id, tid, frame_type, count(*) AS n, CAST(sum(end_cycle - begin_cycle) AS BIGINT) * 1000.0::DOUBLE / (max(f) * count(*)) AS mean, min(ms) AS least, quantile_disc(ms, 0.5) AS p50, quantile_disc(ms, 0.95) AS p95,
   quantile_disc(ms, 0.99) AS p99, max(ms) AS most, count(*) FILTER (WHERE ms > {BUDGET!r}) AS over, count(*) FILTER (WHERE ms > {2 * BUDGET!r}) AS hitches FROM fr WHERE ms IS NOT NULL GROUP BY ALL""",
     "frame_histogram": _FR
     + f""",
