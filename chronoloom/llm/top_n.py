@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from chronoloom.session import cut_lineage
 
 FRACTIONS = (0.75, 0.45)
-QUANTILE_ERROR = 0.01
-HOT_GROUPS = 1000
+ACCURACY = 1000
 
 
 def _ranked(df: DataFrame, n: int) -> DataFrame:
@@ -37,8 +36,8 @@ def top_n(
     """Columns group..., item, score, rank of the n items with the largest score in each group; ties: smaller item first.
 
     Rows with a null in a group column, a null item, or a null or NaN score are not ranked; 0.0 and -0.0 are equal.
-    Copies of a row (same group, item and score) count once; an item given with several scores in a group counts with
-    its largest. Groups of fewer than n items come out whole; an empty table gives no rows.
+    Copies of a row (same group, item and score) count once; an item given with several scores in a group is ranked with
+    each of them. Groups of fewer than n items come out whole; an empty table gives no rows.
     """
     value = F.col(f"`{score}`")
     if dict(df.dtypes)[score] in ("double", "float"):
@@ -52,7 +51,8 @@ def top_n(
         rows = rows.where(" and ".join(f"_g._{i} is not null" for i in range(len(group))))
     rows = rows.where("_score is not null and _item is not null")
 
-    cuts = sorted({*rows.approxQuantile("_score", list(fractions), QUANTILE_ERROR)}, reverse=True) if rows.schema["_score"].dataType.typeName() != "decimal" else []
+    found = rows.agg(F.percentile_approx("_score", list(fractions), ACCURACY)).first()[0] if fractions else None
+    cuts = sorted(set(found or ()), reverse=True)
     kept: DataFrame | None = None
     for top, bottom in zip([None, *cuts], [*cuts, None], strict=True):
         band = rows
@@ -61,13 +61,13 @@ def top_n(
         if top is not None:
             band = band.where(F.col("_score") < F.lit(top))
         if kept is not None:
-            filled = kept.groupBy("_g").agg(F.countDistinct("_item").alias("_n")).where(F.col("_n") >= n).select("_g")
+            filled = kept.groupBy("_g").agg(F.countDistinct("_score", "_item").alias("_n")).where(F.col("_n") >= n).select("_g")
             band = band.join(filled, "_g", "left_anti")
         best = _ranked(band, n).select("_g", "_score", "_item")
         if bottom is not None:
             best = cut_lineage(best)
         kept = best if kept is None else kept.unionByName(best)
-    once = kept.groupBy("_g", "_item").agg(F.max("_score").alias("_score"))
+    once = kept.distinct()
     final = Window.partitionBy("_g").orderBy(F.col("_score").desc(), "_item")
     result = once.withColumn("_rank", F.row_number().over(final)).where(F.col("_rank") <= n)
     names = [F.col("_g").alias(group[0])] if len(group) == 1 else [F.col(f"_g._{i}").alias(c) for i, c in enumerate(group)]
