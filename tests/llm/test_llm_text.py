@@ -49,6 +49,25 @@ def test_quotations_belong_to_their_sentence():
     check(cue("“快！我们走吧。”老人喊道。船长走了。"), "zh", "喊道。", "走了。")
 
 
+def test_opening_quotation_after_a_mark_and_dialogue_dashes():
+    check(cue("这本《灯》我看过。“快！我们走吧。”老人喊道。"), "zh", "我看过。", "喊道。")
+    check(cue("- He waited…\n- ls it late?", "«Где ключ?»\n— спросила она."), "en", "waited…", "late?", "она.")
+
+
+def test_learning_tells_abbreviations_from_last_words(spark):
+    from chronoloom.llm.sentences import learned
+
+    rng = random.Random(5)
+    names = ["Brask", "Venn", "Tarrow", "Halvik", "Morrow"]
+    verbs = ["sleeps", "waits", "sings", "walks", "reads", "talks", "thinks"]
+    say = lambda: rng.choice([f"The captain {rng.choice(verbs)} by night.", f"She {rng.choice(verbs)} here again.", f"Ask Capt. {rng.choice(names)} about {rng.choice(verbs)} now.", f"See fig. {rng.randrange(9)} for what {rng.choice(verbs)} below."])
+    rows = [(i, cue(*[f"{say()} {say()}" for _ in range(6)]), "en") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    found = {(r.kind, r.item) for r in learned(df, "text", "lang").where("language = 'latin/en'").collect()}
+    assert {("abbreviation", "capt"), ("abbreviation", "fig"), ("starter", "The"), ("starter", "She")} <= found
+    assert not {("abbreviation", w) for w in ("night", "again", "now", "below")} & found and ("starter", "Brask") not in found
+
+
 def test_what_nobody_says():
     text = cue("[SIGHS]", "♪ la la ♪", "OLD MAN: The <i>boat.</i> (coughing)", "- He ran\n- We hid.", "*glass breaks*", "Subtitles by Team X - www.x.example")
     check(text, "en", "boat.", "ran", "hid.", "www.x.example")
