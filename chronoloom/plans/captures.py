@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.scalars import at_cap, contains_any, flag_names, scope_kind
+from chronoloom.functions.scalars import at_cap, contains_any, flag_names, scope_kind, speedup_ceiling
 from chronoloom.operators.asof import backward
 from chronoloom.operators.calltree import rollup, self_times
 from chronoloom.operators.dist import busiest, distribution, histogram, milliseconds
 from chronoloom.operators.graph import longest_chains
-from chronoloom.operators.intervals import overlap_join, union_length
+from chronoloom.operators.intervals import overlap_join, segments, union_length
 from chronoloom.operators.records import latest_delivery
 from chronoloom.session import table
 
@@ -348,6 +348,53 @@ def critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy((F.expr("id div 16")).alias("order_id")).agg(F.max("total").alias("total"), F.max_by("steps", F.struct("total", -F.col("id"))).alias("steps"))
 
 
+def queue_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capture and thread: how long after the frame that holds it GPU work begins; submits without a frame counted."""
+    windows = frame_windows(spark, sf_dir).select("capture_id", "tid", "frame_id", "b")
+    submits = once_gpu_frames(spark, sf_dir).where("base_us > 0").select("capture_id", "tid", "gpu_frame_id", "base_us")
+    placed = backward(submits, windows, ["capture_id", "tid"], "base_us", "b", ["frame_id"])
+    lag = F.col("base_us") - F.col("b")
+    made = placed.groupBy("capture_id", "tid").agg(F.count(F.lit(1)).alias("submits"), F.count_if(lag.isNull()).alias("unplaced"), F.sum(lag).alias("lag_us"), F.max(lag).alias("longest_us"))
+    return made.withColumn("mean_us", F.round(F.col("lag_us") / F.nullif(F.col("submits") - F.col("unplaced"), F.lit(0)), 3))
+
+
+def queue_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often one kind of span follows another on a queue of a capture."""
+    order = Window.partitionBy("capture_id", "queue").orderBy("b", "e", "span_id")
+    rows = _gpu(spark, sf_dir).withColumn("other", F.lead("kind").over(order)).where("other is not null")
+    return rows.groupBy("queue", "kind", "other").agg(F.count(F.lit(1)).alias("n"))
+
+
+def parallelism_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capture: cycles in which the game thread's frames run alone or beside others, the peak, and the gain that sharing the lone part out to four workers could bring at most."""
+    rows = frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_type", F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e"))
+    own = (F.col("frame_type") == 0).cast("int")
+    open_ = segments(rows, ["capture_id"], {"own": own, "other": 1 - own})
+    length = F.col("until") - F.col("t")
+    when = lambda c: F.sum(F.when(c, length).otherwise(0))
+    made = open_.groupBy("capture_id").agg(when((F.col("own") > 0) & (F.col("other") == 0)).alias("solo"), when((F.col("own") > 0) & (F.col("other") > 0)).alias("shared"), F.max(F.col("own") + F.col("other")).alias("peak"))
+    share = F.col("solo") / F.nullif(F.col("solo") + F.col("shared"), F.lit(0))
+    return made.withColumn("ceiling", F.round(speedup_ceiling(share, F.lit(4)), 6))
+
+
+def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules by the second camel-case word of a timer's name: per capture the presence, the timers and the largest one."""
+    rows = _nodes(spark, sf_dir).where("inclusive is not null and name is not null").withColumn("module", F.regexp_extract("name", "^[A-Z][a-z]+([A-Z][a-z]+)", 1)).where("module <> ''")
+    most = rows.groupBy("capture_id", "frame_id", "module").agg(F.max("inclusive").alias("cycles")).groupBy("capture_id", "module").agg(F.count(F.lit(1)).alias("frames"), F.sum("cycles").alias("presence"))
+    owned = rows.groupBy("capture_id", "module", "name").agg(F.sum("inclusive").alias("owned"))
+    big = owned.groupBy("capture_id", "module").agg(F.count(F.lit(1)).alias("timers"), F.min_by("name", F.struct(-F.col("owned"), "name")).alias("biggest"))
+    return most.join(big, ["capture_id", "module"])
+
+
+def label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts that label a data set: rows and keys of each table."""
+    made = None
+    for name, key in (("captures", "capture_id"), ("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id")):
+        row = table(spark, sf_dir, name).agg(F.lit(name).alias("source_table"), F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("keys"), F.countDistinct("capture_id").alias("captures"))
+        made = row if made is None else made.unionByName(row)
+    return made
+
+
 _C = """
 WITH c AS (SELECT capture_id, arg_max(app, ingested_at) AS app, arg_max(build_version, ingested_at) AS build_version, arg_max(started_at, ingested_at) AS started_at,
   arg_max(cycle_frequency, ingested_at) AS f, arg_max(frame_count, ingested_at) AS frame_count, arg_max(p50_ms, ingested_at) AS p50_ms, arg_max(p95_ms, ingested_at) AS p95_ms,
@@ -392,7 +439,7 @@ QUERIES = {
         frame_distribution, frame_histogram, busiest_series, over_budget_frames, verdict_counts, frame_numbering, warm_up, display_cap, series_stats, run_spread,
         queue_totals, queue_frame_placement, gpu_frames_usable, queue_passes, clock_scale, partner_frames, bottleneck_verdicts,
         call_tree, frame_self_time, top_self_nodes, frame_work_topn, scope_kinds, pattern_presence, candidates, dimension_misses,
-        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path,
+        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path, queue_lag, queue_fences, parallelism_threads, module_rollup, label_facts,
     )
 }
 
@@ -479,6 +526,31 @@ SELECT capture_id, stat, frame_id, count(*) AS n, round(CASE WHEN max(kind) = 't
     + " UNION ALL ".join(f"SELECT capture_id, '{t}' AS channel, count(DISTINCT {k}) AS n FROM {t} GROUP BY capture_id" for t, k in (("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id")))
     + "), c AS (SELECT DISTINCT capture_id FROM captures), l AS (SELECT unnest(['frames', 'gpu_frames', 'gpu_spans', 'nodes', 'passes', 'csv_values']) AS channel) SELECT capture_id, channel, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'ready' ELSE 'missing' END AS state FROM c CROSS JOIN l LEFT JOIN h USING (capture_id, channel)",
 }
+ORACLES |= {
+    "queue_lag": _FR
+    + ", "
+    + _GF
+    + """, l AS (SELECT capture_id, tid, b, max(frame_id) AS frame_id FROM win GROUP BY ALL),
+p AS (SELECT g.capture_id, g.tid, g.base_us - l.b AS lag FROM (SELECT * FROM gf WHERE base_us > 0) g ASOF LEFT JOIN l ON g.capture_id = l.capture_id AND g.tid = l.tid AND g.base_us >= l.b)
+SELECT *, round(lag_us / nullif(submits - unplaced, 0), 3) AS mean_us FROM (SELECT capture_id, tid, count(*) AS submits, count(*) FILTER (WHERE lag IS NULL) AS unplaced, sum(lag) AS lag_us, max(lag) AS longest_us FROM p GROUP BY ALL)""",
+    "queue_fences": "WITH " + _GS + " SELECT queue, kind, other, count(*) AS n FROM (SELECT queue, kind, lead(kind) OVER (PARTITION BY capture_id, queue ORDER BY b, e, span_id) AS other FROM gs) WHERE other IS NOT NULL GROUP BY ALL",
+    "parallelism_threads": _FR
+    + """, k AS (SELECT capture_id, t, sum(o) AS o, sum(x) AS x FROM (SELECT capture_id, begin_cycle AS t, CAST(frame_type = 0 AS INT) AS o, CAST(frame_type <> 0 AS INT) AS x FROM fr WHERE ms IS NOT NULL
+  UNION ALL SELECT capture_id, end_cycle, -CAST(frame_type = 0 AS INT), -CAST(frame_type <> 0 AS INT) FROM fr WHERE ms IS NOT NULL) GROUP BY ALL),
+q AS (SELECT capture_id, t, lead(t) OVER w AS u, sum(o) OVER w AS o, sum(x) OVER w AS x FROM k WINDOW w AS (PARTITION BY capture_id ORDER BY t)),
+g AS (SELECT capture_id, sum(CASE WHEN o > 0 AND x = 0 THEN u - t ELSE 0 END) AS solo, sum(CASE WHEN o > 0 AND x > 0 THEN u - t ELSE 0 END) AS shared, max(o + x) AS peak FROM q WHERE u IS NOT NULL GROUP BY ALL)
+SELECT *, round(CASE WHEN solo <= 0 THEN 1.0 ELSE 1.0::DOUBLE / ((1 - solo / nullif(solo + shared, 0)) + solo / nullif(solo + shared, 0) / 4) END, 6) AS ceiling FROM g""",
+    "module_rollup": "WITH "
+    + _N
+    + """, md AS (SELECT *, regexp_extract(name, '^[A-Z][a-z]+([A-Z][a-z]+)', 1) AS module FROM nd WHERE inclusive IS NOT NULL AND name IS NOT NULL),
+pr AS (SELECT capture_id, module, count(*) AS frames, sum(c) AS presence FROM (SELECT capture_id, frame_id, module, max(inclusive) AS c FROM md WHERE module <> '' GROUP BY ALL) GROUP BY ALL),
+ow AS (SELECT capture_id, module, name, sum(inclusive) AS owned FROM md WHERE module <> '' GROUP BY ALL)
+SELECT pr.*, timers, biggest FROM pr JOIN (SELECT capture_id, module, count(*) AS timers, arg_min(name, (-owned, name)) AS biggest FROM ow GROUP BY ALL) USING (capture_id, module)""",
+    "label_facts": " UNION ALL ".join(
+        f"SELECT '{t}' AS source_table, count(*) AS n, count(DISTINCT {k}) AS keys, count(DISTINCT capture_id) AS captures FROM {t}"
+        for t, k in (("captures", "capture_id"), ("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id"))
+    ),
+}
 _METRICS = """m AS (SELECT capture_id, unnest(['frames.p50_ms', 'frames.p95_ms', 'frames.p99_ms', 'frames.over_share', 'frames.count']) AS key, unnest(['ms', 'ms', 'ms', 'share', 'count']) AS unit,
   unnest([true, true, true, true, false]) AS lower_is_better, unnest([p50_ms, p95_ms, p99_ms, round(over_budget / nullif(frame_count, 0), 6), CAST(frame_count AS DOUBLE)]) AS value FROM c)"""
 ORACLES |= {
