@@ -210,10 +210,10 @@ def top_self_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_work_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The six timers that take most of each of the 16 longest frames of a thread."""
+    """The six timers that take most of each of the 16 longest frames of a thread, nested ones included."""
     longest = Window.partitionBy("capture_id", "tid").orderBy(F.col("ms").desc(), "begin_cycle", "frame_type", "frame_id")
     kept = frames(spark, sf_dir).where("ms > 0").withColumn("_k", F.row_number().over(longest)).where("_k <= 16").select("frame_id")
-    cycles = _nodes(spark, sf_dir).where("spec is not null and parent_node_id is null").join(kept, "frame_id", "left_semi").groupBy("frame_id", "spec").agg(F.sum("inclusive").alias("cycles")).where("cycles is not null")
+    cycles = _nodes(spark, sf_dir).where("spec is not null").join(kept, "frame_id", "left_semi").groupBy("frame_id", "spec").agg(F.sum("inclusive").alias("cycles")).where("cycles is not null")
     order = Window.partitionBy("frame_id").orderBy(F.col("cycles").desc(), "spec")
     return cycles.withColumn("place", F.row_number().over(order)).where("place <= 6")
 
