@@ -27,7 +27,6 @@ LEAST_RUN = 6
 LEAST_READINGS = 6
 PERIODS = range(2, 13)
 BLOCK = 50_000
-MARGIN = 0.02
 CHUNK = 50_000
 _NORMAL = 1.4826
 
@@ -38,6 +37,13 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(x)))
 
 
+def run_limit(pairs: int, equal: int, n: int) -> int:
+    """The least stuck run among n readings, from the lengths of the usual runs: their sum, and what repeats in them."""
+    # with share p of equal neighbours the longest run among n readings is near 1 + log n / log 1/p
+    share = (equal + 0.5) / (pairs + 1.0)
+    return max(LEAST_RUN, int(np.ceil(2 * (1 + np.log(max(n, 2)) / -np.log(min(share, 0.99))))) - 2)
+
+
 def stuck(x: np.ndarray) -> np.ndarray:
     """Readings in runs much longer than chance makes them, judged by how often neighbours are equal elsewhere."""
     found = np.zeros(len(x), bool)
@@ -48,10 +54,7 @@ def stuck(x: np.ndarray) -> np.ndarray:
     if not long.any():
         return found
     usual = lengths[~long]
-    pairs, equal = usual.sum(), (usual - 1).sum()
-    # with share p of equal neighbours the longest run among n readings is near 1 + log n / log 1/p
-    share = (equal + 0.5) / (pairs + 1.0)
-    limit = max(LEAST_RUN, int(np.ceil(2 * (1 + np.log(max(len(x), 2)) / -np.log(min(share, 0.99))))) - 2)
+    limit = run_limit(usual.sum(), (usual - 1).sum(), len(x))
     for a, n in zip(starts[long], lengths[long], strict=True):
         if n >= limit:
             found[a : a + n] = True
@@ -94,11 +97,10 @@ def _departure(x: list[float], a: int, b: int, skip: list[bool], ends: bool) ->
 
 def details(x: np.ndarray, reach: int) -> np.ndarray:
     """The undecimated Haar detail of one resolution: mean of the reach readings from i on, less that of those before."""
-    sums = np.concatenate([[0.0], np.cumsum(x)])
-    at = np.arange(1, len(x))
-    n = np.minimum(reach, np.minimum(at, len(x) - at))
     made = np.zeros(len(x))
-    made[1:] = (sums[at + n] - 2 * sums[at] + sums[at - n]) / n
+    for n in range(1, reach + 1):  # sums of the few readings alone: the result does not depend on what lies far before
+        at = np.arange(n, len(x) - n + 1)
+        made[at] = (sum(x[at + i] for i in range(n)) - sum(x[at - 1 - i] for i in range(n))) / n
     return made
 
 
@@ -125,15 +127,24 @@ def _quantum(x: np.ndarray) -> float:
     return float(np.diff(u).min()) if len(u) > 1 else 0.0
 
 
+def off_base(x: np.ndarray) -> np.ndarray:
+    """x less the median of the eleven readings around."""
+    half = 5
+    padded = np.pad(x, half, mode="reflect") if len(x) > half else np.pad(x, half, mode="edge")
+    return x - np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)[:, half]
+
+
+def recurring(counted: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
+    """Which phases may recur, by how many of their readings stand out."""
+    return (counted >= 3) & (counted >= 0.65 * sizes) & (2 * sizes <= n)
+
+
 def without_recurrence(x: np.ndarray, at: np.ndarray, fixed: np.ndarray, scale: float, least: float) -> np.ndarray:
     """x less what comes back at one phase of a period, where most readings of that phase that are not stuck stand out alike."""
     n = len(x)
     if n < 9:
         return x
-    half = 5
-    padded = np.pad(x, half, mode="reflect") if n > half else np.pad(x, half, mode="edge")
-    base = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)[:, half]
-    rest = x - base
+    rest = off_base(x)
     scale = max(min(scale, _NORMAL * _median(np.abs(rest[~fixed])) if not fixed.all() else scale), least)
     out = np.abs(rest) > STEP * scale
     if out.sum() < 3:
@@ -144,7 +155,7 @@ def without_recurrence(x: np.ndarray, at: np.ndarray, fixed: np.ndarray, scale:
         phases = at % period
         counted = np.bincount(phases[standing], minlength=period)
         sizes = np.bincount(phases[free], minlength=period)
-        for phase in np.flatnonzero((counted >= 3) & (counted >= 0.65 * sizes) & (2 * sizes <= n)):
+        for phase in np.flatnonzero(recurring(counted, sizes, n)):
             there = (phases == phase) & free
             middle = _median(rest[there])
             hits = int((out & there & (np.sign(rest) == np.sign(middle))).sum())
@@ -159,28 +170,25 @@ def without_recurrence(x: np.ndarray, at: np.ndarray, fixed: np.ndarray, scale:
     return flat
 
 
-def spikes(x: np.ndarray, at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
-    """Readings of excursions of at most WIDEST readings, up or down, far outside the scatter; at: their positions."""
-    n = len(x)
-    found = np.zeros(n, bool)
-    if n < LEAST_READINGS:
-        return found
-    rough = _scale(x, fixed)
-    quantum = _quantum(x)
-    least = max(quantum / 4, 1e-9)
-    y = without_recurrence(x, at, fixed, max(rough, least), least)
-    flat_scale = _scale(y, fixed)
-    scale = max(flat_scale, quantum / 3, 1e-6 * _median(np.abs(y)), 1e-300)
-    edges = np.zeros(n, bool)
+def edges(y: np.ndarray, scale: float) -> np.ndarray:
+    """Readings at which a step far outside the scatter ends, and the first one."""
+    found = np.zeros(len(y), bool)
     for reach in RESOLUTIONS:
         size = np.abs(details(y, reach))
         edge_here = size > STEP * scale / np.sqrt(reach)
         if reach > 1:  # a coarser detail also rises beside an edge: only its peaks count
             beside = np.pad(size, 1)
             edge_here &= (size >= beside[:-2]) & (size >= beside[2:])
-        edges |= edge_here
-    edges[0] = True
-    opening, edge, held, taken, sticking = np.flatnonzero(edges).tolist(), edges.tolist(), y.tolist(), found.tolist(), fixed.tolist()
+        found |= edge_here
+    found[0] = True
+    return found
+
+
+def excursions(y: np.ndarray, at_edge: np.ndarray, fixed: np.ndarray, scale: float, opens: np.ndarray | None = None) -> np.ndarray:
+    """Readings of excursions that begin and end at an edge; opens: the edges at which one may begin, all if not given."""
+    n = len(y)
+    opening = np.flatnonzero(at_edge if opens is None else opens).tolist()
+    edge, held, taken, sticking = at_edge.tolist(), y.tolist(), [False] * n, fixed.tolist()
     # found readings are no background for others: the strongest come first, and the ends last
     for limit, ends in ((4 * SPIKE, False), (2 * SPIKE, False), (SPIKE, False), (SPIKE, True)):
         for a in opening:
@@ -191,7 +199,19 @@ def spikes(x: np.ndarray, at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
                 if (b == n or edge[b]) and _departure(held, a, b, taken, ends) > limit * scale:
                     taken[a:b] = [True] * width
                     break
-    return np.array(taken)
+    return np.array(taken, bool)
+
+
+def spikes(x: np.ndarray, at: np.ndarray, fixed: np.ndarray) -> np.ndarray:
+    """Readings of excursions of at most WIDEST readings, up or down, far outside the scatter; at: their positions."""
+    if len(x) < LEAST_READINGS:
+        return np.zeros(len(x), bool)
+    rough = _scale(x, fixed)
+    quantum = _quantum(x)
+    least = max(quantum / 4, 1e-9)
+    y = without_recurrence(x, at, fixed, max(rough, least), least)
+    scale = max(_scale(y, fixed), quantum / 3, 1e-6 * _median(np.abs(y)), 1e-300)
+    return excursions(y, edges(y, scale), fixed, scale)
 
 
 IMPOSSIBLE, STUCK, SPIKE_FOUND = 1, 2, 3
@@ -212,21 +232,20 @@ def judge(x: np.ndarray, impossible: np.ndarray) -> np.ndarray:
 
 
 def _judge_sources(schema: pa.Schema):
-    """Over rows (source, block, order, id, value, impossible, own), sorted by the first four, whole blocks at a time."""
+    """Over rows (source, order, id, value, impossible), sorted by the first three, whole sources at a time."""
     kinds = np.array(["", "impossible", "stuck", "spike"])
 
     def answer(table: pa.Table, borders: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids = table.column("_id").to_numpy()
         values = table.column("_value").to_numpy()
         flags = table.column("_impossible").to_numpy()
-        own = table.column("_own").to_numpy()
         places, codes = [], []
         for a, b in zip(borders, borders[1:], strict=False):
             first = np.ones(b - a, bool)
             first[1:] = ids[a + 1 : b] != ids[a : b - 1]  # copies of a reading stand next to each other
             there = np.arange(a, b)[first]
             code = judge(values[there], flags[there])
-            hit = np.flatnonzero((code > 0) & own[there])
+            hit = np.flatnonzero(code > 0)
             places.append(there[hit])
             codes.append(code[hit])
         if places and len(place := np.concatenate(places)):
@@ -238,10 +257,9 @@ def _judge_sources(schema: pa.Schema):
         rows = 0
 
         def borders(table: pa.Table) -> np.ndarray:
-            keys = [table.column(c).combine_chunks().dictionary_encode() if c == "_source" else table.column(c) for c in ("_source", "_block")]
-            source = keys[0].indices.to_numpy() if isinstance(keys[0], pa.DictionaryArray) else keys[0].combine_chunks().indices.to_numpy()
-            block = keys[1].to_numpy()
-            return np.concatenate([[0], np.flatnonzero((source[1:] != source[:-1]) | (block[1:] != block[:-1])) + 1])
+            key = table.column("_source").combine_chunks().dictionary_encode()
+            source = key.indices.to_numpy() if isinstance(key, pa.DictionaryArray) else key.combine_chunks().indices.to_numpy()
+            return np.concatenate([[0], np.flatnonzero(source[1:] != source[:-1]) + 1])
 
         for batch in batches:
             held.append(batch)
@@ -269,8 +287,8 @@ def implausible(readings: DataFrame, block: int = BLOCK) -> DataFrame:
     one id and order count once. Sources that never change, and those of fewer than LEAST_READINGS readings apart from
     runs and bounds, show nothing. An empty table gives no rows; other columns are ignored.
 
-    Sources of more than block rows are cut by order into blocks of about that size, each read with a margin of its
-    neighbours; all others stay whole. A source of any size is so spread over many tasks.
+    Sources of more than block rows are cut by position into pieces of at most that size, which are judged by the
+    figures of their whole source (spikes_hot); the result is that of the uncut source. All others stay whole.
     """
     rows = readings.select(
         F.col("source").alias("_source"),
@@ -280,19 +298,17 @@ def implausible(readings: DataFrame, block: int = BLOCK) -> DataFrame:
         (F.coalesce(F.col("impossible"), F.lit(False)) | F.col("value").cast("double").isin(float("inf"), float("-inf"))).alias("_impossible"),
     ).where("_source is not null and _order is not null and _id is not null")
     rows = rows.withColumn("_impossible", F.col("_impossible") & F.col("_value").isNotNull() & ~F.isnan("_value"))
-    sizes = rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_low"), F.max("_order").alias("_high")).where(F.col("_n") > block)
-    if sizes.isEmpty():
-        placed = rows.withColumn("_block", F.lit(0).cast("long")).withColumn("_own", F.lit(True))
-    else:
-        # blocks of equal width in order; a margin of the neighbours comes along to be seen, not judged
-        wide = sizes.select("_source", "_low", F.greatest(F.lit(1), F.ceil((F.col("_high") - F.col("_low") + 1) / F.ceil(F.col("_n") / F.lit(block)))).cast("long").alias("_width"))
-        inside = rows.join(wide, "_source", "left").withColumn("_home", F.coalesce(F.expr("(_order - _low) div _width"), F.lit(0).cast("long")))
-        reach = F.ceil(F.col("_width") * F.lit(MARGIN)).cast("long")
-        offset = F.col("_order") - F.col("_low") - F.col("_home") * F.col("_width")
-        moves = F.when(offset < reach, F.array(F.lit(0), F.lit(-1))).when(offset >= F.col("_width") - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-        spread = inside.withColumn("_move", F.explode(moves))
-        placed = spread.withColumn("_block", F.col("_home") + F.col("_move")).withColumn("_own", F.col("_move") == 0)
-    order = ["_source", "_block", "_order", "_id"]
-    ready = placed.select(*order, "_value", "_impossible", "_own").repartition("_source", "_block").sortWithinPartitions(*order)
+    hot = [(r._source, r._n) for r in rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).collect()]  # one of block rows
+    whole = rows
+    if hot:
+        names = rows.sparkSession.createDataFrame([(s,) for s, _ in hot], "_source string")
+        whole = rows.join(names, "_source", "left_anti")
+    order = ["_source", "_order", "_id"]
+    ready = whole.select(*order, "_value", "_impossible").repartition("_source").sortWithinPartitions(*order)
     schema = StructType([StructField("source", StringType()), StructField("id", LongType()), StructField("kind", StringType())])
-    return ready.mapInArrow(_judge_sources(to_arrow_schema(schema)), schema)
+    found = ready.mapInArrow(_judge_sources(to_arrow_schema(schema)), schema)
+    if not hot:
+        return found
+    from chronoloom.operators.spikes_hot import judge_hot
+
+    return found.unionByName(judge_hot(rows.join(names, "_source", "left_semi"), sum(n for _, n in hot), block))
