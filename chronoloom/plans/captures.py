@@ -19,6 +19,8 @@ OUTLIERS = 40
 THRESHOLD = 0.05
 # fixed values: fragments of names that tell of synchronous loads, locks and the like, and of parallel work
 PATTERNS = {"load": ("load", "stream"), "spawn": ("spawn", "build"), "wait": ("wait",), "gather": ("gather", "collect")}
+PARALLEL_NAMES = ("parallel", "async", "task", "worker", "job", "thread", "concurrent", "dispatch", "lockfree")
+# what the SQL twin of candidates leaves out so far
 PARALLEL = ("parallel", "task", "worker", "async", "job")
 VERDICTS = ("within", "thread", "wait", "gpu", "unknown")
 
@@ -209,10 +211,15 @@ def top_self_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.col("self").desc(), F.col("inclusive").desc(), F.col("spec").asc_nulls_last(), "node_id").limit(OUTLIERS)
 
 
+def _kept_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 longest frames of each thread."""
+    longest = Window.partitionBy("capture_id", "tid").orderBy(F.col("ms").desc(), "begin_cycle", "frame_type", "frame_id")
+    return frames(spark, sf_dir).where("ms > 0").withColumn("_k", F.row_number().over(longest)).where("_k <= 16")
+
+
 def frame_work_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six timers that take most of each of the 16 longest frames of a thread, nested ones included."""
-    longest = Window.partitionBy("capture_id", "tid").orderBy(F.col("ms").desc(), "begin_cycle", "frame_type", "frame_id")
-    kept = frames(spark, sf_dir).where("ms > 0").withColumn("_k", F.row_number().over(longest)).where("_k <= 16").select("frame_id")
+    kept = _kept_frames(spark, sf_dir).select("frame_id")
     cycles = _nodes(spark, sf_dir).where("spec is not null").join(kept, "frame_id", "left_semi").groupBy("frame_id", "spec").agg(F.sum("inclusive").alias("cycles")).where("cycles is not null")
     order = Window.partitionBy("frame_id").orderBy(F.col("cycles").desc(), "spec")
     return cycles.withColumn("place", F.row_number().over(order)).where("place <= 6")
@@ -232,13 +239,17 @@ def pattern_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per capture the first three timers whose share of all root cycles is a quarter or more and that do not read as parallel."""
-    rows = _nodes(spark, sf_dir).where("parent_node_id is null and inclusive is not null and name is not null")
-    total = rows.groupBy("capture_id").agg(F.sum("inclusive").alias("total"))
-    share = rows.groupBy("capture_id", "name").agg(F.sum("inclusive").alias("cycles")).join(total, "capture_id").withColumn("share", F.round(F.col("cycles") / F.nullif("total", F.lit(0)), 6))
+    """Per capture the first three timers that take a quarter or more of the span of its kept frames and that do not read as parallel.
+
+    Kept are the 16 longest frames of each thread. Time is inclusive, so a nested timer counts beside the one that holds it.
+    """
+    kept = _kept_frames(spark, sf_dir).select("capture_id", "frame_id", (F.col("end_cycle") - F.col("begin_cycle")).alias("span"))
+    total = kept.groupBy("capture_id").agg(F.sum("span").alias("total"))
+    rows = _nodes(spark, sf_dir).where("inclusive is not null and name is not null").join(kept.select("frame_id"), "frame_id", "left_semi")
+    share = rows.groupBy("capture_id", "name").agg(F.sum("inclusive").alias("cycles")).join(total, "capture_id").withColumn("share", F.round(F.col("cycles") / F.col("total"), 6))
     order = Window.partitionBy("capture_id").orderBy(F.col("cycles").desc(), "name")
-    kept = share.where((F.col("share") >= 0.25) & ~contains_any(F.col("name"), PARALLEL))
-    return kept.withColumn("place", F.row_number().over(order)).where("place <= 3").select("capture_id", "name", "cycles", "share", "place")
+    named = share.where((F.col("cycles") >= 0.25 * F.col("total")) & ~contains_any(F.col("name"), PARALLEL_NAMES))
+    return named.withColumn("place", F.row_number().over(order)).where("place <= 3").select("capture_id", "name", "cycles", "share", "place")
 
 
 def dimension_misses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,22 @@ def test_frame_work_counts_nested_timers(spark, tmp_path):
     )
     got = captures.frame_work_topn(spark, folder).orderBy("place").collect()
     assert [(r.spec, r.cycles, r.place) for r in got] == [(7, 45_000, 1), (8, 20_000, 2)]
+
+
+def test_candidates_take_nested_timers_against_the_span_of_the_frames(spark, tmp_path):
+    folder = tables(
+        spark,
+        tmp_path,
+        captures=[{"capture_id": 1, "app": "a", "started_at": DAY, "cycle_frequency": 1_000_000}],
+        frames=[
+            {"frame_id": 1, "capture_id": 1, "tid": 2, "frame_type": 0, "begin_cycle": 0, "end_cycle": 60_000},
+            {"frame_id": 2, "capture_id": 1, "tid": 2, "frame_type": 0, "begin_cycle": 60_000, "end_cycle": 100_000},
+        ],
+        nodes=[
+            node(1, 1, 7, 50_000, None, "Tick"), node(2, 1, 8, 45_000, 1, "Physics"), node(3, 1, 9, 44_000, 2, "RenderThreadSync"),
+            node(4, 1, 10, 43_000, 3, "DispatchAll"), node(5, 1, 11, 42_000, 4, "LockFreeList"), node(6, 1, 12, 41_000, 5, "ConcurrentBag"),
+            node(7, 2, 13, 24_000, None, "Small"), node(8, 2, 14, 25_000, None, "Quarter"),
+        ],
+    )
+    got = captures.candidates(spark, folder).orderBy("place").collect()
+    assert [(r.name, r.cycles, r.share, r.place) for r in got] == [("Tick", 50_000, 0.5, 1), ("Physics", 45_000, 0.45, 2), ("Quarter", 25_000, 0.25, 3)]
