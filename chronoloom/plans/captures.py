@@ -280,16 +280,28 @@ def serial_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stat values by frame of the game thread: timers add up, other values are set, the last one wins.
+    """Stat values by frame of the game thread: timers add up, other values are combined in order of seq by their op.
 
-    A value belongs to the last frame that began at or before it; those before the first frame come with frame_id null.
+    op 1 keeps the least, 2 the greatest, 3 adds; any other, null too, sets the value anew. A value belongs to the last frame that began at or before it; those before the first frame come with frame_id null.
     """
-    values = once(spark, sf_dir, "csv_values", "value_id").where("value is not null").select("capture_id", "stat", "seq", "value_id", "cycle", "kind", "value")
+    values = once(spark, sf_dir, "csv_values", "value_id").where("value is not null").select("capture_id", "stat", "seq", "value_id", "cycle", "kind", "op", "value")
     windows = once(spark, sf_dir, "frames", "frame_id").where("frame_type = 0").select("capture_id", "frame_id", "begin_cycle")
     placed = backward(values, windows, ["capture_id"], "cycle", "begin_cycle", ["frame_id"])
     timer = F.col("kind") == "timer"
-    made = placed.groupBy("capture_id", "stat", "frame_id").agg(F.max("kind").alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(F.when(timer, F.col("value"))).alias("_sum"), F.max_by("value", F.struct("seq", "value_id")).alias("_last"))
-    return made.select("capture_id", "stat", "frame_id", "n", F.round(F.when(F.col("kind") == "timer", F.col("_sum")).otherwise(F.col("_last")), 5).alias("value"))
+    combined = F.coalesce(F.col("op").isin(1, 2, 3), F.lit(False))
+    key = F.struct("seq", "value_id")
+    made = placed.groupBy("capture_id", "stat", "frame_id").agg(
+        F.max("kind").alias("kind"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(timer, F.col("value"))).alias("_sum"),
+        F.max(F.when(~combined, F.struct(key.alias("key"), "value"))).alias("_set"),
+        F.collect_list(F.when(combined & ~timer, F.struct(key.alias("key"), "op", "value"))).alias("_later"),
+    )
+    # what comes before the last value that was set no longer counts
+    later = F.filter(F.array_sort("_later"), lambda x: F.col("_set").isNull() | (x["key"] > F.col("_set.key")))
+    step = lambda acc, x: F.when(x["op"] == 1, F.least(acc, x["value"])).when(x["op"] == 2, F.greatest(acc, x["value"])).otherwise(F.coalesce(acc, F.lit(0.0)) + x["value"])
+    value = F.when(F.col("kind") == "timer", F.col("_sum")).otherwise(F.aggregate(later, F.col("_set.value"), step))
+    return made.select("capture_id", "stat", "frame_id", "n", F.round(value, 5).alias("value"))
 
 
 def dominant_emitter(spark: SparkSession, sf_dir: str) -> DataFrame:

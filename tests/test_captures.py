@@ -8,6 +8,7 @@ DAY = datetime.datetime(2026, 1, 1)
 SCHEMAS = {
     "captures": "capture_id long, app string, platform string, build_version string, started_at timestamp, start_cycle long, cycle_frequency long, frame_count long, mean_ms double, p50_ms double, p95_ms double, p99_ms double, over_budget long, hitches long, ingested_at timestamp",
     "frames": "frame_id long, capture_id long, tid int, frame_type int, begin_cycle long, end_cycle long, ingested_at timestamp",
+    "csv_values": "value_id long, capture_id long, tid int, seq long, cycle long, stat int, kind string, value double, op int, ingested_at timestamp",
     "nodes": "node_id long, capture_id long, frame_id long, tid int, spec long, name string, parent_node_id long, inclusive long, ingested_at timestamp",
 }
 
@@ -55,3 +56,22 @@ def test_candidates_take_nested_timers_against_the_span_of_the_frames(spark, tmp
     )
     got = captures.candidates(spark, folder).orderBy("place").collect()
     assert [(r.name, r.cycles, r.share, r.place) for r in got] == [("Tick", 50_000, 0.5, 1), ("Physics", 45_000, 0.45, 2), ("Quarter", 25_000, 0.25, 3)]
+
+
+def test_csv_series_combines_by_op_in_order(spark, tmp_path):
+    def values(stat, *said, kind="custom"):
+        return [{"value_id": 100 * stat + i, "capture_id": 1, "tid": 2, "seq": i, "cycle": 10 + i, "stat": stat, "kind": kind, "value": float(v), "op": op} for i, (v, op) in enumerate(said)]
+
+    folder = tables(
+        spark,
+        tmp_path,
+        frames=[{"frame_id": 1, "capture_id": 1, "tid": 2, "frame_type": 0, "begin_cycle": 0, "end_cycle": 100}],
+        csv_values=values(1, (5, 1), (3, 1), (4, 1))
+        + values(2, (5, 2), (9, 2), (4, 2))
+        + values(3, (5, 3), (-2, 3), (4, 3))
+        + values(4, (5, 0), (7, None))
+        + values(5, (50, 3), (5, 0), (2, 3), (4, 1), (6, 2), (1, 3))
+        + values(6, (1, None), (2, None), kind="timer"),
+    )
+    got = {r.stat: (r.frame_id, r.n, r.value) for r in captures.csv_series(spark, folder).collect()}
+    assert got == {1: (1, 3, 3.0), 2: (1, 3, 9.0), 3: (1, 3, 7.0), 4: (1, 2, 7.0), 5: (1, 6, 7.0), 6: (1, 2, 3.0)}
