@@ -132,9 +132,10 @@ def changes(declared: DataFrame, group: str, record: str, source: str, order: Se
     lives = declared.groupBy(group, record).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("fields", place).alias("began"), F.max_by("fields", place).alias("ended"), F.min_by(source, place).alias(source))
     ends = lives.select(group, F.col(record).alias("_other"), F.col("last").alias("_last"), "ended", F.xxhash64("ended").alias("_hash"))
     # of the records that end alike the one that ended first answers whether any ended before
-    ends = ends.groupBy(group, "_hash", "ended").agg(F.min("_last").alias("_last"))
+    ends = ends.groupBy(F.col(group).alias("_group"), F.col("_hash").alias("_ends"), "ended").agg(F.min("_last").alias("_last"))
     begins = lives.drop("ended").withColumn("_hash", F.xxhash64("began"))
-    renamed = begins.join(ends, [group, "_hash"]).where((F.col("began") == F.col("ended")) & (F.col("_last") < F.col("first")))
+    met = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_hash") == F.col("_ends"))
+    renamed = begins.join(ends, met).where((F.col("began") == F.col("ended")) & (F.col("_last") < F.col("first")))
     types = renamed.select(*columns, F.lit("").alias("field_name"), F.lit("type_renamed").alias("change"), F.lit(0).alias("at"))
     return log.unionByName(types)
 
@@ -142,12 +143,14 @@ def changes(declared: DataFrame, group: str, record: str, source: str, order: Se
 def consistent_fields(declared: DataFrame, group: str, record: str, source: str) -> DataFrame:
     """Every field of every declaration in one table: group, source, record, name, offset, type_name, union_type.
 
-    union_type is the lattice join of all types that the field has had in the group, so every source casts to it.
+    union_type is the lattice join of all types that the field has had in the group, so every source casts to it. A null
+    group or name is one of its own.
     """
     rows = declared.select(group, source, record, F.explode("fields").alias("_f")).select(group, source, record, "_f.*")
     union = rows.groupBy(group, record, "name").agg(F.collect_set("type_name").alias("_kinds"))
-    union = union.select(group, record, "name", folded_type(F.col("_kinds")).alias("union_type"))
-    return rows.join(union, [group, record, "name"]).select(group, source, record, "name", "offset", "type_name", "union_type")
+    union = union.select(F.col(group).alias("_group"), F.col(record).alias("_record"), F.col("name").alias("_name"), folded_type(F.col("_kinds")).alias("union_type"))
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col(record) == F.col("_record")) & F.col("name").eqNullSafe(F.col("_name"))
+    return rows.join(union, same).select(group, source, record, "name", "offset", "type_name", "union_type")
 
 
 def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.operators.interval_map import periods_and_gaps
 from chronoloom.operators.records import latest_delivery, micros
-from chronoloom.operators.schema_drift import changes, consistent_fields, declarations
+from chronoloom.operators.schema_drift import changes, consistent_fields, declarations, read_union
 from chronoloom.operators.spikes import implausible
 from chronoloom.session import table
 
@@ -32,6 +34,13 @@ def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.withColumnRenamed("name", "field_name").withColumn("offset", F.col("offset").cast("long"))
 
 
+def p1_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of event_types as one table, each cast to the union of their schemas."""
+    at = Path(sf_dir, "event_types.parquet")
+    files = sorted(str(f.absolute()) for f in at.glob("*.parquet")) if at.is_dir() else [str(at.absolute())]
+    return read_union(spark, files)[0]
+
+
 #: Least and greatest value of each unit of csv_stats, and whether it counts whole things.
 UNITS = {
     "ms": (0.0, 1e6, False),
@@ -93,7 +102,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods_and_gaps(spans, ["capture_id", "queue", "kind"], "begin_us", "end_us")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p2_found, p4_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_fields, p1_union, p2_found, p4_found)}
 
 _DECLARED = """
 WITH c AS (SELECT capture_id, arg_max(app, ingested_at) AS app, arg_max(started_at, ingested_at) AS started_at FROM captures GROUP BY capture_id),
