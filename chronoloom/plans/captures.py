@@ -136,7 +136,7 @@ def queue_frame_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GPU work inside each frame of the game thread (type 0), summed over the queues; and spans that landed there."""
     windows = frame_windows(spark, sf_dir).where("frame_type = 0").select("capture_id", "frame_id", "b", "e")
     work = _gpu(spark, sf_dir).where("kind = 'work'").select("capture_id", "span_id", "b", "e")
-    pairs = overlap_join(work, windows, ["capture_id"], 50_000)
+    pairs = overlap_join(work, windows, ["capture_id"])
     return pairs.groupBy("capture_id", "frame_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("span_id").alias("spans"), F.sum(F.least("e", "r_e") - F.greatest("b", "r_b")).alias("gpu_us"))
 
 
@@ -169,7 +169,7 @@ def partner_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_id", "tid", "frame_type", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"), F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e"))
     own = rows.where("frame_type = 0").select("capture_id", "frame_id", F.col("tid").alias("own_tid"), "b", "e")
     other = rows.select("capture_id", F.col("frame_id").alias("partner"), "tid", "work", "b", "e")
-    pairs = overlap_join(own, other, ["capture_id"], 10_000_000).where("tid <> own_tid")
+    pairs = overlap_join(own, other, ["capture_id"]).where("tid <> own_tid")
     best = F.min(F.struct(-F.coalesce("work", F.lit(-1)), "tid", "r_b", "r_e", "partner", "work")).alias("_best")
     return pairs.groupBy("capture_id", "frame_id").agg(F.count(F.lit(1)).alias("partners"), best).select("capture_id", "frame_id", "partners", "_best.partner", F.col("_best.work").alias("partner_work"))
 

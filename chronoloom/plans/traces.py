@@ -71,7 +71,7 @@ def pairing_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_begin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = last_begin_pairs(_marks(spark, sf_dir), ["tid"], time="b")
+    pairs = last_begin_pairs(_marks(spark, sf_dir), ["tid"], time="b", at="b")
     return pairs.groupBy("tid").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("end") - F.col("begin")).alias("waited"))
 
 
@@ -101,7 +101,7 @@ def peak_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scopes clipped to the days they overlap."""
-    pairs = overlap_join(spans(spark, sf_dir), days(spark, sf_dir).select("tid", "day", "b", "e"), ["tid"], DAY)
+    pairs = overlap_join(spans(spark, sf_dir), days(spark, sf_dir).select("tid", "day", "b", "e"), ["tid"])
     b, e = clipped(F.col("b"), F.col("e"), F.col("r_b"), F.col("r_e"))
     return pairs.select("tid", "day", "id", "spec", b.alias("b"), e.alias("e"))
 

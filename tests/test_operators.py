@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,15 +36,46 @@ def test_interval_algebra_matches_points(spark):
         assert left.get(k, 0) == len(set(mine) - set(points(other, k)))
 
 
-@pytest.mark.parametrize("width", [1, 13, 1000])
-def test_overlap_join_is_the_theta_join(spark, width):
-    rng = random.Random(width)
-    a = [(k, b - 50, e - 50, i) for k, b, e, i in spans(rng)]
-    b = [(k, b - 50, e - 50, 1000 + i) for k, b, e, i in spans(rng, 50)]
+@pytest.mark.parametrize("seed", range(3))
+def test_overlap_join_is_the_theta_join(spark, seed):
+    rng = random.Random(seed)
+    a = [(k, b - 50, e - 50, i) for k, b, e, i in spans(rng)] + [(0, -5, 2**61, 900), (1, -(2**40), 7, 901), (2, 3, 4, 902)]
+    b = [(k, b - 50, e - 50, 1000 + i) for k, b, e, i in spans(rng, 50)] + [(0, -(2**61), 2**62, 1900)]
     left = spark.createDataFrame(a, "k int, b long, e long, id int")
     right = spark.createDataFrame(b, "k int, b long, e long, other int")
-    got = sorted((r.id, r.other) for r in intervals.overlap_join(left, right, ["k"], width).collect())
+    got = sorted((r.id, r.other) for r in intervals.overlap_join(left, right, ["k"]).collect())
     assert got == sorted((i, j) for k, lo, hi, i in a for kk, lo2, hi2, j in b if k == kk and lo < hi and lo2 < hi2 and lo < hi2 and lo2 < hi)
+    assert intervals.overlap_join(left, right.where("false"), ["k"]).count() == 0
+
+
+def test_hot_keys_give_what_whole_keys_give(spark):
+    rng = random.Random(5)
+    rows = [(1 if rng.random() < 0.8 else rng.choice([2, None]), s, s // 2, rng.choice([1, 1, -1])) for s in range(400)]
+    df = spark.createDataFrame(rows, "tid int, seq long, cycle long, d int")
+    key = lambda df: sorted(map(str, df.collect()))
+    for pair in (pairing.stack_pairs, pairing.queue_pairs, pairing.last_begin_pairs, pairing.pairing_counts):
+        assert key(pair(df, ["tid"], hot=40)) == key(pair(df, ["tid"])), pair
+    pairs = pairing.stack_pairs(df, ["tid"])
+    assert key(pairing.with_parent(pairs, ["tid"], hot=20)) == key(pairing.with_parent(pairs, ["tid"]))
+    spans_ = df.select("tid", F.col("cycle").alias("b"), (F.col("cycle") + F.pmod(F.col("seq") * 7, F.lit(5))).alias("e"), "d")
+    assert key(intervals.merged(spans_, ["tid"], hot=30)) == key(intervals.merged(spans_, ["tid"]))
+    assert key(intervals.segments(spans_, ["tid"], {"n": F.lit(1), "d": F.col("d")}, hot=30)) == key(intervals.segments(spans_, ["tid"], {"n": F.lit(1), "d": F.col("d")}))
+    windows = df.where("d = 1 and seq % 9 = 0").select("tid", F.col("cycle").alias("w"), F.col("seq").alias("n"))
+    points = df.select("tid", "seq", "cycle")
+    for join in (asof.forward, asof.backward):
+        assert key(join(points, windows, ["tid"], "cycle", "w", ["n"], hot=30)) == key(join(points, windows, ["tid"], "cycle", "w", ["n"]))
+
+
+def test_asof_takes_time_in_proportion(spark):
+    def seconds(n):
+        points = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("t"))
+        windows = spark.range(n // 10).select(F.lit(1).alias("k"), (F.col("id") * 10).alias("w"))
+        began = time.perf_counter()
+        asof.forward(points, windows, ["k"], "t", "w", []).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(80_000) < 4 * seconds(20_000) + 1
 
 
 def test_stack_and_queue_pairs_match_walks(spark):
@@ -110,10 +142,67 @@ def test_longest_chain(spark):
     tasks = spark.createDataFrame([(1, 5), (2, 5), (3, 2), (4, None), (5, 9), (6, 1)], "id long, duration long")
     edges = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (4, 5), (3, 6), (6, 6), (99, 6)], "pred long, succ long")
     best = graph.longest_chains(tasks, edges)
-    assert {r.id: (r.total, r.parent) for r in best.collect()} == {1: (5, None), 2: (5, None), 3: (7, 1), 4: (0, None), 5: (9, None), 6: (8, 3)}
-    assert graph.chain_to(best, 6) == [1, 3, 6]
+    # 4 never ran: nothing before it counts, but it is what 5 follows
+    assert {r.id: (r.total, r.parent) for r in best.collect()} == {1: (5, None), 2: (5, None), 3: (7, 1), 4: (0, None), 5: (9, 4), 6: (8, 3)}
+    chain = graph.chains_to(best, spark.createDataFrame([(6,), (5,)], "id long"))
+    assert sorted((r.last, r.place, r.id) for r in chain.collect()) == [(5, 1, 4), (5, 2, 5), (6, 1, 1), (6, 2, 3), (6, 3, 6)]
+    assert graph.ignored_edges(tasks, edges) == 1
     ring = spark.createDataFrame([(1, 2), (2, 1)], "pred long, succ long")
-    assert graph.longest_chains(tasks, ring, most_steps=4).where("id = 1").first().steps <= 4
+    assert {r.id: (r.total, r.parent) for r in graph.longest_chains(tasks, ring).where("id < 3").collect()} == {1: (10, 2), 2: (5, None)}
+    assert graph.ignored_edges(tasks, ring) == 1
+    assert graph.longest_chains(tasks.where("false"), edges).count() == 0
+
+
+def walked(tasks, edges):
+    """The longest chains by a walk from each task to its predecessors; an edge to a task on the way is left out."""
+    before = {t: sorted({p for p, s in edges if s == t and p in tasks and p != t}) for t in tasks}
+    total, parent, way, ignored = {}, {}, [], set()
+
+    def walk(t):
+        if t in total:
+            return
+        way.append(t)
+        best = (0, None)
+        for p in before[t] if tasks[t] is not None else ():
+            if p in way:
+                ignored.add((p, t))
+                continue
+            walk(p)
+            if best[1] is None or total[p] > best[0]:
+                best = (total[p], p)
+        total[t], parent[t] = best[0] + (tasks[t] or 0), best[1]
+        way.pop()
+
+    for t in sorted(tasks):
+        walk(t)
+    return total, parent, len(ignored)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_chains_match_a_walk(spark, seed):
+    rng = random.Random(seed)
+    tasks = {t: rng.choice([None, *range(10)]) for t in range(30)}
+    edges = [tuple(sorted(rng.sample(range(30), 2))) for _ in range(45)]
+    total, parent, _ = walked(tasks, edges)
+    best = graph.longest_chains(spark.createDataFrame(list(tasks.items()), "id long, duration long"), spark.createDataFrame(edges, "pred long, succ long"))
+    assert {r.id: (r.total, r.parent) for r in best.collect()} == {t: (total[t], parent[t]) for t in tasks}
+
+
+def test_a_cycle_is_counted_and_never_followed(spark):
+    # a ring with a tail, a stretch that leads back to its head, and a chain beside them
+    tasks = {t: t for t in range(1, 12)}
+    edges = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 6), (6, 7), (7, 5), (7, 8), (9, 10), (10, 11)]
+    total, parent, ignored = walked(tasks, edges)
+    rows, links = spark.createDataFrame(list(tasks.items()), "id long, duration long"), spark.createDataFrame(edges, "pred long, succ long")
+    assert {r.id: (r.total, r.parent) for r in graph.longest_chains(rows, links).collect()} == {t: (total[t], parent[t]) for t in tasks}
+    assert graph.ignored_edges(rows, links) == ignored == 2
+
+
+def test_two_thousand_tasks_in_line(spark):
+    rows = spark.range(2000).select("id", F.lit(1).cast("long").alias("duration"))
+    links = spark.range(1, 2000).select((F.col("id") - 1).alias("pred"), F.col("id").alias("succ"))
+    last = graph.longest_chains(rows, links).where("id = 1999").first()
+    assert (last.total, last.parent, last.steps) == (2000, 1998, 2000)
 
 
 def test_scalar_rules(spark):
