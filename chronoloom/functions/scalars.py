@@ -48,9 +48,10 @@ def queue_parts(code: Column) -> tuple[Column, Column, Column]:
 
 
 def flag_names(flags: Column) -> Column:
-    """Names of the set bits, joined by '+'."""
+    """Names of the set bits, joined by '+'; 'none' where no bit is set."""
     bits = [F.when(flags.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(EVENT_FLAGS)]
-    return F.array_join(F.filter(F.array(*bits), lambda x: x.isNotNull()), "+")
+    found = F.filter(F.array(*bits), lambda x: x.isNotNull())
+    return F.when(flags.isNotNull(), F.when(F.size(found) > 0, F.array_join(found, "+")).otherwise("none"))
 
 
 def at_cap(seconds: Column) -> Column:

@@ -17,11 +17,17 @@ from chronoloom.session import table
 BUDGET = 1000.0 / 60.0
 OUTLIERS = 40
 THRESHOLD = 0.05
-# fixed values: fragments of names that tell of synchronous loads, locks and the like, and of parallel work
-PATTERNS = {"load": ("load", "stream"), "spawn": ("spawn", "build"), "wait": ("wait",), "gather": ("gather", "collect")}
+# fixed values: fragments of timer names that tell of known patterns, and of work that is parallel already
+PATTERNS = {
+    "tick": ("tick",),
+    "sync-load": ("staticloadobject", "loadobject", "loadpackage", "flushasyncloading", "synchronousloading", "loadmap", "getorload"),
+    "object-churn": ("newobject", "spawnactor", "constructobject", "createdefaultsubobject", "duplicateobject"),
+    "gc": ("collectgarbage", "garbagecollect", "gclock", "incrementalpurge"),
+    "serialize": ("serialize",),
+    "wait": ("waitfortasks", "waitfor"),
+}
+LEAST_SPECS = 2
 PARALLEL_NAMES = ("parallel", "async", "task", "worker", "job", "thread", "concurrent", "dispatch", "lockfree")
-# what the SQL twin of candidates leaves out so far
-PARALLEL = ("parallel", "task", "worker", "async", "job")
 VERDICTS = ("within", "thread", "wait", "gpu", "unknown")
 
 
@@ -522,7 +528,7 @@ SELECT capture_id, path, level, count(*) AS nodes, sum(calls) AS calls, sum(incl
     + ", "
     + _N
     + """, kp AS (SELECT frame_id FROM (SELECT frame_id, row_number() OVER (PARTITION BY capture_id, tid ORDER BY ms DESC, begin_cycle, frame_type, frame_id) AS k FROM fr WHERE ms > 0) WHERE k <= 16),
-cy AS (SELECT frame_id, spec, sum(inclusive) AS cycles FROM nd WHERE spec IS NOT NULL AND parent_node_id IS NULL AND frame_id IN (SELECT frame_id FROM kp) GROUP BY ALL)
+cy AS (SELECT frame_id, spec, sum(inclusive) AS cycles FROM nd WHERE spec IS NOT NULL AND frame_id IN (SELECT frame_id FROM kp) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY cycles DESC, spec) AS place FROM cy WHERE cycles IS NOT NULL) WHERE place <= 6""",
     "scope_kinds": "WITH " + _N + " SELECT CASE WHEN contains(lower(name), 'wait') THEN 'wait' WHEN regexp_matches(name, '(Lock|Locks|Locked|Unlock|Mutex|Critical|Semaphore)([^a-z]|$)') THEN 'lock' ELSE 'work' END AS kind, count(*) AS n, sum(calls) AS calls FROM nd GROUP BY ALL",
     "pattern_presence": "WITH "
@@ -530,12 +536,13 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY cycle
     + ", mt AS ("
     + " UNION ALL ".join(f"SELECT capture_id, frame_id, '{p}' AS pattern, max(inclusive) AS cycles FROM nd WHERE inclusive IS NOT NULL AND {_WORDS('name', w)} GROUP BY ALL" for p, w in PATTERNS.items())
     + ") SELECT capture_id, pattern, count(*) AS frames, sum(cycles) AS cycles FROM mt GROUP BY ALL",
-    "candidates": "WITH "
+    "candidates": _FR
+    + ", "
     + _N
-    + f""", rt AS (SELECT * FROM nd WHERE parent_node_id IS NULL AND inclusive IS NOT NULL AND name IS NOT NULL),
-tt AS (SELECT capture_id, sum(inclusive) AS total FROM rt GROUP BY ALL),
-sh AS (SELECT capture_id, name, sum(inclusive) AS cycles, round(sum(inclusive) / nullif(max(total), 0), 6) AS share FROM rt JOIN tt USING (capture_id) GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY cycles DESC, name) AS place FROM sh WHERE share >= 0.25 AND NOT {_WORDS("name", PARALLEL)}) WHERE place <= 3""",
+    + f""", kp AS (SELECT capture_id, frame_id, end_cycle - begin_cycle AS span FROM (SELECT *, row_number() OVER (PARTITION BY capture_id, tid ORDER BY ms DESC, begin_cycle, frame_type, frame_id) AS k FROM fr WHERE ms > 0) WHERE k <= 16),
+tt AS (SELECT capture_id, sum(span) AS total FROM kp GROUP BY ALL),
+sh AS (SELECT capture_id, name, sum(inclusive) AS cycles FROM nd WHERE inclusive IS NOT NULL AND name IS NOT NULL AND frame_id IN (SELECT frame_id FROM kp) GROUP BY ALL)
+SELECT * FROM (SELECT capture_id, name, cycles, round(cycles / total, 6) AS share, row_number() OVER (PARTITION BY capture_id ORDER BY cycles DESC, name) AS place FROM sh JOIN tt USING (capture_id) WHERE cycles >= 0.25 * total AND NOT {_WORDS("name", PARALLEL_NAMES)}) WHERE place <= 3""",
     "dimension_misses": "WITH n AS (SELECT DISTINCT ON (node_id) * FROM nodes), f AS (SELECT DISTINCT frame_id FROM frames) SELECT capture_id, count(*) AS n, count(*) FILTER (WHERE f.frame_id IS NULL) AS unframed, count(*) FILTER (WHERE spec IS NULL) AS specless, count(*) FILTER (WHERE name IS NULL) AS nameless FROM n LEFT JOIN f USING (frame_id) GROUP BY ALL",
     "dedupe_last_definition": "WITH e AS (SELECT DISTINCT ON (capture_id, seq) * FROM event_types) SELECT capture_id, uid, definitions, logger, name, flag_names, fields FROM (SELECT capture_id, uid, logger, name, flag_names, len(fields) AS fields, count(*) OVER (PARTITION BY capture_id, uid) AS definitions, row_number() OVER (PARTITION BY capture_id, uid ORDER BY seq DESC) AS k FROM e) WHERE k = 1",
     "event_schema_counts": "SELECT logger, name, count(*) AS n, count(DISTINCT capture_id) AS captures, max(size) AS largest, count(*) FILTER (WHERE fields IS NULL) AS broken FROM (SELECT DISTINCT ON (capture_id, seq) * FROM event_types) GROUP BY ALL",

@@ -6,6 +6,7 @@ import os
 import pathlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,7 @@ def build_session(app: str = "chronoloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it any more
         **conf,
     }
     return builder.config(map=settings).getOrCreate()
@@ -46,6 +48,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, by: str) -> DataFrame:
+    """df written once as a table below the checkpoint folder, cut into folders by a column, and read again.
+
+    A filter on that column reads only its folders. The table goes when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(by).parquet(path)
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors' Python workers this package, once per context, where they may not have it installed."""
     context = spark.sparkContext
