@@ -6,7 +6,7 @@ times get a piecewise-linear model that predicts a position with an error of at
 neighbours are found by a search in that short stretch of the sorted array.
 
 Times are whole numbers in units of 1 / (scale * 10^6) seconds, counted from the start of the shard: nothing is rounded
-and nothing overflows for scales up to 10^12 ticks per second.
+and nothing overflows for scales up to MOST_SCALE ticks per second.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 ERROR = 16
 SHARD_SECONDS = 10
-MOST_SCALE = 10**12
+MOST_SCALE = 4 * 10**11
+LEAST_LIMIT = 10**10
 
 
 class LearnedIndex:
@@ -124,16 +125,24 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance_us
     Both sides have the integer columns keys (the entity), scale (ticks per second), ticks and id; ticks of left count
     the entity's own clock, ticks of right are microseconds of the same clock. Returns left_id and right_id, at most
     one row for each right_id. Of equally near rows the earlier counts, then the one with the smaller id. Rows with a
-    null in one of these columns or a scale outside 1..10^12 match nothing; repeated rows count once; a right id given
-    with several times comes out with the smallest left id found; empty tables give no rows; other columns, whatever
-    their names, are ignored. A shard holds what one entity recorded in shard_seconds.
+    null in one of these columns or a scale outside 1..MOST_SCALE match nothing; repeated rows count once; a right id
+    given with several times comes out with the smallest left id found; empty tables give no rows; other columns, whatever
+    their names, are ignored. A shard holds what one entity recorded in shard_seconds, or in more than twice the
+    tolerance where that is longer; a tolerance above two minutes lowers the greatest scale in proportion, and one
+    that would bring it below LEAST_LIMIT is a ValueError.
     """
+    if tolerance_us < 0:
+        raise ValueError("a tolerance is not negative")
+    shard_seconds = max(shard_seconds, 2 * tolerance_us // 1_000_000 + 1)
+    most_scale = min(MOST_SCALE, (2**63 - 1) // (2 * shard_seconds * 1_000_000))
+    if most_scale < LEAST_LIMIT:
+        raise ValueError(f"times within {tolerance_us} us cannot be compared as whole numbers at {LEAST_LIMIT} ticks a second")
     named = [f"_key{i}" for i in range(len(keys))]
 
     def prepared(df: DataFrame, second: str, part: str) -> DataFrame:
         columns = [F.col(f"`{k}`").cast("long").alias(n) for k, n in zip(keys, named, strict=True)]
         columns += [F.col(c).cast("long").alias(f"_{c}") for c in ("scale", "ticks", "id")]
-        whole = df.select(*columns).dropna().where(f"_scale between 1 and {MOST_SCALE}")
+        whole = df.select(*columns).dropna().where(f"_scale between 1 and {most_scale}")
         return whole.withColumn("_second", F.expr(second)).withColumn("_part", F.expr(part))
 
     # _second: whole seconds, _part: the rest in units of 1 / (scale * 10^6) seconds
@@ -142,7 +151,6 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], tolerance_us
     shard = f"(_second - pmod(_second, {shard_seconds}L)) div {shard_seconds}L"
     inside = f"pmod(_second, {shard_seconds}L) * 1000000L * _scale + _part"
     near, far = f"{tolerance_us}L * _scale", f"({shard_seconds * 1_000_000}L - {tolerance_us}L) * _scale"
-    assert 0 <= tolerance_us < shard_seconds * 500_000, "the tolerance must be below half a shard"
     frames = (
         frames.withColumn("_home", F.expr(shard))
         .withColumn("_in", F.expr(inside))

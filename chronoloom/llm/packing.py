@@ -86,17 +86,19 @@ def _fill(capacity: int, schema: pa.Schema):
     return run
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS, seed: int = SEED) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, group_items: int = GROUP_ITEMS, seed: int = SEED, total: int | None = None) -> DataFrame:
     """key, part, first, size, container: where each part of each item lies. No item is left out or repeated.
 
     An item is divided only if it alone exceeds the capacity, into full parts and a rest. Items are dealt to groups of
     about group_items by a hash of key and seed, each packed on its own by first-fit decreasing (equal sizes in order
     of key), so a group costs one task of bounded size and at most one half-empty container or so. An item of size 0
     or null goes where there is room, with size 0; a negative size counts as 0. Repeated keys are items of their own;
-    an empty table gives no rows. container is unique over all groups.
+    an empty table gives no rows. container is unique over all groups. total is the number of items where it is known
+    already, so that items that are dear to make are not made only to be counted; it decides the number of groups.
     """
     named = items.select(F.col(f"`{key}`").alias("_key"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("_size"))
-    groups = max(1, -(-items.select(F.lit(1)).count() // group_items))
+    total = items.select(F.lit(1)).count() if total is None else total
+    groups = max(1, -(-total // group_items))
     placed = named.withColumn("_group", F.pmod(F.xxhash64("_key", F.lit(seed)), F.lit(groups)).cast("long"))
     ordered = placed.repartition("_group").sortWithinPartitions("_group", F.col("_size").desc(), "_key")
     schema = StructType([StructField(key, items.schema[key].dataType), StructField("part", IntegerType()), StructField("first", LongType()), StructField("size", LongType()), StructField("container", LongType())])

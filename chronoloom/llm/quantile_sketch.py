@@ -3,12 +3,14 @@
 A number becomes a 32-bit code that keeps its order. Each of the 32 binary resolutions of the code has one signed
 sketch (ROWS x WIDTH counters, or exact counters where that resolution has no more than WIDTH cells); a rank is
 inverted by descending from the coarsest resolution. The sketch is linear: partial results of partitions or days are
-merged by addition, and negative weights delete. Until a sketch holds SPARSE distinct codes it is kept as the plain
-frequency vector, which is linear too and from which ranks are exact.
+merged by addition, and negative weights delete. Until a sketch holds SPARSE distinct codes it travels as these codes and
+their counts, which are shorter than its counters; the counters are made from them where ranks are asked for, for many
+sketches at a time, so every percentile is read off the sketch and none depends on how the sketch travelled.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -32,8 +34,11 @@ _ADD = _RANDOM.integers(0, 2**63, (_EXACT_FROM, ROWS, 1), dtype=np.uint64)
 _BASE = (np.arange(_EXACT_FROM * ROWS, dtype=np.int64) * WIDTH).reshape(_EXACT_FROM, ROWS, 1)
 _SHIFT = np.uint64(64 - WIDTH.bit_length())  # the upper bits choose a counter, the one below them a sign
 _LEVELS = np.arange(_EXACT_FROM, dtype=np.uint64).reshape(-1, 1)
-#: Variance of the median of ROWS estimates against one, and of the mean of two of them: normal approximation.
-_NOISE = np.sqrt(np.pi / 2 / ROWS / 2)
+#: How many standard errors the bound is wide, and the standard error of the median of five estimates for each unit that
+#: the second and the fourth of them lie apart: normal approximation, 0.56 of their scatter, which is 1.01 of that distance.
+SIGMAS = 3.0
+_MEDIAN_ERROR = 0.56 * 1.01
+_AT_ONCE = 256
 
 
 def encode(values: np.ndarray) -> np.ndarray:
@@ -116,47 +121,17 @@ class DyadicSketch:
             made.dense, made.exact = -made.dense, -made.exact
         return made
 
-    def _estimates(self, level: int, nodes: np.ndarray) -> np.ndarray:
-        if level >= _EXACT_FROM:
-            return self.exact[(1 << (BITS - level)) + nodes].astype(np.float64)
-        mixed = (nodes.astype(np.uint64) * _MULTIPLY[level] + _ADD[level]) >> _SHIFT
-        signs = (mixed & np.uint64(1)).astype(np.int64) * 2 - 1
-        held = np.take_along_axis(self.dense[level], (mixed >> np.uint64(1)).astype(np.int64), 1) * signs
-        return np.sort(held, axis=0)[ROWS // 2].astype(np.float64)
-
-    def codes_at(self, ranks: np.ndarray) -> np.ndarray:
-        """Codes at ranks from 1 on; a left child is estimated from both children and their parent."""
-        if self.dense is None:
-            return self.codes[np.searchsorted(np.cumsum(self.counts), ranks)]
-        node, inside, rest = np.zeros(len(ranks), np.int64), np.full(len(ranks), float(self.n)), ranks.astype(np.float64)
-        for level in range(BITS - 1, -1, -1):
-            both = self._estimates(level, np.concatenate([2 * node, 2 * node + 1]))
-            left, right = both[: len(ranks)], both[len(ranks) :]
-            if level < _EXACT_FROM:
-                left = np.clip((left + inside - right) / 2, 0, inside)
-            goes = rest > left
-            node = 2 * node + goes
-            inside = np.where(goes, inside - left, left)
-            rest = np.where(goes, rest - left, rest)
-        return node.astype(np.uint32)
-
-    def rank_error(self) -> float:
-        """Twice the standard deviation of a rank found, as a share of n: the noise of all sketched levels together."""
-        if self.dense is None or self.n <= 0:
-            return 0.0
-        energy = np.median((self.dense.astype(np.float64) ** 2).sum(axis=2), axis=1)
-        return float(2 * _NOISE * np.sqrt((energy / WIDTH).sum()) / self.n)
-
     def quantiles(self, shares: Sequence[float]) -> list[float | None]:
         """The values at rank ceil(share * n); None where nothing is held."""
-        if self.n <= 0:
-            return [None] * len(shares)
-        ranks = [min(max(1, int(np.ceil(round(q * self.n, 9)))), self.n) for q in shares]
-        return decode(self.codes_at(np.array(ranks))).tolist()
+        return quantiles_of([self], shares)[0][0]
+
+    def rank_error(self, shares: Sequence[float] = (0.5, 0.95, 0.99)) -> float:
+        """SIGMAS standard errors of the ranks found, as a share of n."""
+        return quantiles_of([self], shares)[0][1]
 
     def dump(self) -> bytes:
         if self.dense is not None:
-            return b"d" + np.int64(self.n).tobytes() + self.exact.tobytes() + self.dense.tobytes()
+            return b"d" + zlib.compress(np.int64(self.n).tobytes() + self.exact.tobytes() + self.dense.tobytes(), 1)
         ones = bool((self.counts == 1).all())
         return (b"1" if ones else b"s") + self.codes.tobytes() + (b"" if ones else self.counts.tobytes())
 
@@ -164,9 +139,9 @@ class DyadicSketch:
     def load(data: bytes) -> DyadicSketch:
         made, kind = DyadicSketch(), data[:1]
         if kind == b"d":
-            made.n = int(np.frombuffer(data, np.int64, 1, 1)[0])
-            made.exact = np.frombuffer(data, np.int64, 2 * WIDTH, 9).copy()
-            made.dense = np.frombuffer(data, np.int64, -1, 9 + 16 * WIDTH).reshape(_EXACT_FROM, ROWS, WIDTH).copy()
+            whole = np.frombuffer(bytearray(zlib.decompress(memoryview(data)[1:])), np.int64)
+            made.n, made.exact = int(whole[0]), whole[1 : 1 + 2 * WIDTH]
+            made.dense = whole[1 + 2 * WIDTH :].reshape(_EXACT_FROM, ROWS, WIDTH)
             return made
         held = (len(data) - 1) // (4 if kind == b"1" else 12)
         made.codes = np.frombuffer(data, np.uint32, held, 1)
@@ -175,6 +150,80 @@ class DyadicSketch:
         return made
 
 
+class _Level:
+    """The counters of one resolution of many sketches, made from their codes or taken from them."""
+
+    def __init__(self, sketches: list[DyadicSketch], level: int, owner: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.level, n = level, len(sketches)
+        self.exact = level >= _EXACT_FROM
+        cells = 1 << (BITS - level)
+        if self.exact:
+            self.held = np.bincount(owner * cells + (codes >> np.uint64(level)).astype(np.int64), counts, n * cells).reshape(n, cells)
+        else:
+            mixed = ((codes >> np.uint64(level)) * _MULTIPLY[level] + _ADD[level]) >> _SHIFT
+            signed = ((mixed & np.uint64(1)).astype(np.int64) * 2 - 1) * counts
+            at = (mixed >> np.uint64(1)).astype(np.int64) + owner * WIDTH
+            self.held = np.stack([np.bincount(at[r], signed[r], n * WIDTH) for r in range(ROWS)]).reshape(ROWS, n, WIDTH)
+        for i, sketch in enumerate(sketches):
+            if sketch.dense is not None:
+                if self.exact:
+                    self.held[i] = sketch.exact[cells : 2 * cells]
+                else:
+                    self.held[:, i] = sketch.dense[level]
+
+    def rows(self, nodes: np.ndarray) -> np.ndarray:
+        """The estimate of each row of counters for nodes[sketch, k]; one row where the counters are exact."""
+        which = np.arange(len(nodes))[:, None]
+        if self.exact:
+            return self.held[which, nodes][None]
+        mixed = (nodes.astype(np.uint64)[None] * _MULTIPLY[self.level][:, :, None] + _ADD[self.level][:, :, None]) >> _SHIFT
+        signs = (mixed & np.uint64(1)).astype(np.int64) * 2 - 1
+        at = (mixed >> np.uint64(1)).astype(np.int64)
+        return self.held[np.arange(ROWS)[:, None, None], which[None], at] * signs
+
+
+def quantiles_of(sketches: list[DyadicSketch], shares: Sequence[float]) -> list[tuple[list[float | None], float]]:
+    """For each sketch its values at ranks ceil(share * n) and the bound of the error of these ranks, a share of n.
+
+    One descent for all of them: at each resolution a left child is estimated from both children and their parent, by the
+    median of the rows. How far the rows of the nodes on the way lie apart tells the error of each step; the bound is SIGMAS
+    times the root of the summed squares, for the worst of the shares. Nothing held, or less than nothing: None and 0.
+    """
+    made: list[tuple[list[float | None], float]] = [([None] * len(shares), 0.0)] * len(sketches)
+    live = [i for i, s in enumerate(sketches) if s.n > 0]
+    for part in range(0, len(live), _AT_ONCE):
+        some = live[part : part + _AT_ONCE]
+        held = [sketches[i] for i in some]
+        sparse = [s if s.dense is None else _NOTHING for s in held]
+        owner = np.repeat(np.arange(len(held)), [len(s.codes) for s in sparse])
+        codes, counts = np.concatenate([s.codes for s in sparse]).astype(np.uint64), np.concatenate([s.counts for s in sparse])
+        total = np.array([s.n for s in held], np.int64)
+        ranks = np.stack([np.clip(np.ceil(np.round(q * total, 9)), 1, total) for q in shares], axis=1)
+        node, inside, rest, variance = np.zeros(ranks.shape, np.int64), np.repeat(total[:, None].astype(float), len(shares), 1), ranks, np.zeros(ranks.shape)
+        for level in range(BITS - 1, -1, -1):
+            counters = _Level(held, level, owner, codes, counts)
+            left = counters.rows(2 * node)
+            if counters.exact:
+                left = left[0]
+            else:
+                rows = np.sort((left + inside - counters.rows(2 * node + 1)) / 2, axis=0)
+                # the middle rows only: one that met a frequent value by chance says nothing of the median's error
+                variance += (_MEDIAN_ERROR * (rows[ROWS // 2 + 1] - rows[ROWS // 2 - 1])) ** 2
+                left = np.clip(rows[ROWS // 2], 0, inside)
+            goes = rest > left
+            node = 2 * node + goes
+            inside = np.where(goes, inside - left, left)
+            rest = np.where(goes, rest - left, rest)
+        values = decode(node.astype(np.uint32))
+        errors = SIGMAS * np.sqrt(variance.max(axis=1)) / total
+        for k, i in enumerate(some):
+            made[i] = (values[k].tolist(), min(1.0, float(errors[k])))
+    return made
+
+
+_NOTHING = DyadicSketch()
+
+
 def _sketch(keys: int, measures: Sequence[str], schema: pa.Schema):
     """Rows (keys..., measures...) in any order to rows (keys..., measure, sketch), some for each block of rows."""
 
@@ -233,30 +282,32 @@ def sketches(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> Dat
     return rows.mapInArrow(_sketch(len(keys), list(measures), to_arrow_schema(schema)), schema)
 
 
-def _over_groups(keys: int, finish, schema: pa.Schema):
-    """Add up the sketches of each run of equal keys in rows (keys..., sketch) and hand the sum to finish."""
+def _over_groups(finish, schema: pa.Schema):
+    """Add up the sketches of each run of equal keys in rows (keys..., sketch) and hand the sums, many at a time, to finish."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, total, out = None, None, []
+        current, total, keys, sums = None, None, [], []
 
         def flush() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-            out.clear()
-            return made
+            rows = [(*key, *made) for key, made in zip(keys, finish(sums), strict=True)]
+            keys.clear()
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
         for batch in batches:
             for *key, blob in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if key != current:
                     if current is not None:
-                        out.append((*current, *finish(total)))
-                        if len(out) >= 256:
+                        keys.append(current)
+                        sums.append(total)
+                        if len(sums) >= _AT_ONCE:
                             yield flush()
                     current, total = key, DyadicSketch.load(blob)
                 else:
                     total.add(DyadicSketch.load(blob))
         if current is not None:
-            out.append((*current, *finish(total)))
-        if out:
+            keys.append(current)
+            sums.append(total)
             yield flush()
 
     return run
@@ -267,15 +318,16 @@ def merge(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     by = [*keys, "measure"]
     schema = StructType([*[StructField(k, parts.schema[k].dataType) for k in by], StructField("sketch", BinaryType())])
     rows = parts.select(*by, "sketch").repartition(*by).sortWithinPartitions(*by)
-    return rows.mapInArrow(_over_groups(len(by), lambda s: (s.dump(),), to_arrow_schema(schema)), schema)
+    return rows.mapInArrow(_over_groups(lambda sums: [(s.dump(),) for s in sums], to_arrow_schema(schema)), schema)
 
 
 def percentiles(parts: DataFrame, keys: Sequence[str], shares: Sequence[float] = (0.5, 0.95, 0.99)) -> DataFrame:
     """keys..., measure, n, one column p<percent> for each share, rank_error and value_error, from any partial sketches.
 
-    A percentile is the value at rank ceil(share * n), found with a rank wrong by at most rank_error * n (two standard
-    deviations; 0 where the group is small enough to be held exactly) and a value wrong by at most value_error times
-    itself. Groups from which everything was deleted have n 0 and null percentiles.
+    A percentile is the value at rank ceil(share * n), found with a rank wrong by at most rank_error * n and a value wrong
+    by at most value_error times itself. rank_error is SIGMAS standard errors by the spread of the sketch's own rows, so it
+    holds for about 99 of 100 groups and is 0 where no rows of counters disagree. Groups from which everything was
+    deleted have n 0 and null percentiles.
     """
     by = [*keys, "measure"]
     names = [f"p{round(q * 100, 6):g}".replace(".", "_") for q in shares]
@@ -283,5 +335,6 @@ def percentiles(parts: DataFrame, keys: Sequence[str], shares: Sequence[float] =
     schema = StructType([*fields, *[StructField(n, DoubleType()) for n in names], StructField("rank_error", DoubleType())])
     asked = list(shares)
     rows = parts.select(*by, "sketch").repartition(*by).sortWithinPartitions(*by)
-    found = rows.mapInArrow(_over_groups(len(by), lambda s: (s.n, *s.quantiles(asked), s.rank_error()), to_arrow_schema(schema)), schema)
+    answer = lambda sums: [(s.n, *values, error) for s, (values, error) in zip(sums, quantiles_of(sums, asked), strict=True)]
+    found = rows.mapInArrow(_over_groups(answer, to_arrow_schema(schema)), schema)
     return found.withColumn("value_error", F.lit(VALUE_ERROR))

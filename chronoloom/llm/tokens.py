@@ -1,8 +1,10 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer from a local rank file, by the tiktoken library.
 
 Texts are cut at safe boundaries first: between a character that is no white space and a white-space run no token ever
-spans, whatever the text, so the pieces encode alone to exactly the ids of the whole. That bounds what the library sees
-of a long text at once, and pieces that came before (words of a language are few) are looked up instead of encoded.
+spans, whatever the text, so the pieces encode alone to exactly the ids of the whole. Long pieces, as in scripts without
+spaces, are cut again between a letter and what is none: a run of letters is a match of its own in the pattern, which
+looks at nothing before it. That bounds what the library sees of a long text at once, and pieces that came before (words
+of a language are few) are looked up instead of encoded.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -27,6 +31,7 @@ RANK_FILE = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Unicode White_Space, which is what \s means in PATTERN; Python's own \s has four characters more.
 SPACE = "\t-\r \x85\xa0" + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_AFTER_LETTERS = regex.compile(r"(?<=\p{L})(?=[^\p{L}\p{Cn}])")
 MOST_KEPT = 150_000
 LONGEST_KEPT = 200
 
@@ -42,6 +47,7 @@ class Encoder:
         self._encode = tiktoken.Encoding(os.path.basename(rank_file), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._bytes = {rank: token for token, rank in ranks.items()}
         self._known: dict[str, list[int]] = {}
+        self._table: pa.Array | None = None
 
     def _ids(self, piece: str) -> list[int]:
         # digits after a mark, as in times, begin a token of their own: both sides are more often known than the whole
@@ -49,6 +55,9 @@ class Encoder:
         if cut and (tail := piece[cut:]).isdigit() and tail.isascii():
             known, head = self._known.get, piece[:cut]
             return (known(head) or self._new(head)) + (known(tail) or self._new(tail))
+        if len(piece) > LONGEST_KEPT:
+            cuts, known = [0, *(m.start() for m in _AFTER_LETTERS.finditer(piece)), len(piece)], self._known.get
+            return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in known(piece[a:b]) or self._new(piece[a:b])]
         return self._new(piece)
 
     def _new(self, piece: str) -> list[int]:
@@ -79,6 +88,13 @@ class Encoder:
         return b"".join(map(self._bytes.__getitem__, ids))
 
 
+    def tokens(self) -> pa.Array:
+        """The bytes of every id, by position."""
+        if self._table is None:
+            self._table = pa.array([self._bytes.get(i) for i in range(max(self._bytes) + 1)], pa.binary())
+        return self._table
+
+
 @lru_cache(maxsize=4)
 def encoder(rank_file: str = RANK_FILE) -> Encoder:
     """The encoder of this Python worker."""
@@ -126,11 +142,18 @@ def token_counts(df: DataFrame, key: str, text: str, rank_file: str = RANK_FILE)
 
 def decoded(df: DataFrame, ids: str, rank_file: str = RANK_FILE) -> DataFrame:
     """df with the column ids replaced by its raw bytes; a null list stays null, an id outside the file is an error."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("binary")
-    def to_bytes(column):  # noqa: ANN001, ANN202
-        own = encoder(rank_file)
-        return column.map(lambda x: None if x is None else own.decode(list(x)))
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("binary")
+    def to_bytes(lists: pa.Array) -> pa.Array:
+        tokens = encoder(rank_file).tokens()
+        offsets = lists.offsets if lists.null_count == 0 else None
+        if offsets is None:  # a null list has no ids of its own
+            offsets = pa.array(np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]).astype(np.int32))
+        flat = tokens.take(lists.flatten())
+        first = offsets[0].as_py()
+        made = pa.ListArray.from_arrays(pc.subtract(offsets, first) if first else offsets, flat)
+        joined = pc.binary_join(made, b"")
+        return pc.if_else(lists.is_valid(), joined, pa.scalar(None, pa.binary())) if lists.null_count else joined
 
     return df.withColumn(ids, to_bytes(F.col(f"`{ids}`")))

@@ -6,7 +6,7 @@ import pytest
 
 from chronoloom.llm.nearest_time import LearnedIndex, nearest
 from chronoloom.llm.packing import FirstFit, pack
-from chronoloom.llm.quantile_sketch import SPARSE, DyadicSketch, decode, encode, merge, percentiles, sketches
+from chronoloom.llm.quantile_sketch import DyadicSketch, decode, encode, merge, percentiles, quantiles_of, sketches
 from chronoloom.llm.top_n import top_n
 
 
@@ -54,6 +54,15 @@ def test_nearest_of_nothing_and_bad_scales(spark):
     assert nearest(one, one, ["cap", "tid"], 5).count() == 0 and nearest(none, one, ["cap", "tid"], 5).count() == 0
 
 
+def test_nearest_widens_its_shards_to_the_tolerance(spark):
+    left = [(1, 1, 1000, 5_000 * i, i, "") for i in range(20)]
+    right = [(1, 1, 1000, 7_000_000 * i + 3, 100 + i, "") for i in range(14)]
+    got = nearest(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, LEFT), ["cap", "tid"], 60_000_000)
+    assert {tuple(r) for r in got.collect()} == brute_nearest(left, right, 60_000_000)
+    with pytest.raises(ValueError):
+        nearest(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, LEFT), ["cap", "tid"], 10**13)
+
+
 def test_codes_keep_order_and_value():
     x = np.array([-np.inf, -1e300, -3.25, -1e-9, -0.0, 0.0, 1e-9, 1.5, 16.667, 1e10, np.inf])
     assert (np.diff(encode(x).astype(np.int64)) >= 0).all()
@@ -78,11 +87,28 @@ def test_ranks_merge_and_deletion(n):
         low, high = np.searchsorted(order, value * (1 - 2e-6)), np.searchsorted(order, value * (1 + 2e-6), "right")
         rank = math.ceil(q * n)
         assert low - whole.rank_error() * n - 1 <= rank <= high + whole.rank_error() * n + 1
-    assert (whole.rank_error() == 0) == (len(np.unique(encode(x))) <= SPARSE)
+    # however it travels, a sketch says the same
+    counters = sketch_of(x)
+    if counters.dense is None:
+        counters._widen()
+    assert counters.quantiles(shares) == whole.quantiles(shares) and counters.rank_error() == whole.rank_error() <= 0.05 + 1 / n
     gone = whole.add(sketch_of(x[n // 2 :]).negated())
     assert gone.n == n // 2 and (n < 2 or abs(np.searchsorted(np.sort(x[: n // 2]), gone.quantiles([0.5])[0]) / (n // 2) - 0.5) < 0.05)
 
 
+def test_rank_errors_keep_their_bound():
+    rng, shares, beyond = np.random.default_rng(9), (0.5, 0.95, 0.99), 0
+    for i in range(60):
+        n = int(rng.integers(200, 20_000))
+        x = np.sort(rng.choice([rng.lognormal(3, 1, n), rng.normal(0, 5, n), rng.integers(0, 10**9, n).astype(float)]))
+        (values, error), = quantiles_of([sketch_of(x)], shares)
+        assert error < 0.06
+        for q, v in zip(shares, values):
+            low, high = np.searchsorted(x, v - abs(v) * 2.0**-19), np.searchsorted(x, v + abs(v) * 2.0**-19, "right")
+            beyond += not low - error * n - 1 <= math.ceil(q * n) <= high + error * n + 1
+    assert beyond <= 4
+
+
 def test_percentiles_by_group_from_days(spark):
     rng = np.random.default_rng(3)
     rows = [(k, d, None if i % 50 == 0 else float(v), float("nan") if i % 60 == 0 else float(i)) for k in ("a", None) for d in (1, 2, 3) for i, v in enumerate(rng.normal(100, 5, 400))]

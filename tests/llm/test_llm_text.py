@@ -109,6 +109,9 @@ def test_pieces_encode_as_the_whole_and_decode():
         text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(40)))
         assert own.encode(text) == own._encode(text) and own.count(text) == len(own.encode(text))
         assert own.decode(own.encode(text)) == text.encode()
+    for _ in range(300):
+        text = "".join(rng.choice("กขัา中文。é1'st!´") for _ in range(rng.randrange(200, 600)))
+        assert own.encode(text) == own._encode(text)
     long = "a" * 200_000 + " 00:01:02,345 " + "ก" * 5_000
     assert own.encode(long) == own._encode(long)
 
