@@ -2,7 +2,10 @@
 
 A declaration is the list of fields (name, offset, type) that one header gives for one record type. Headers are read in
 parallel, types are folded through a promotion lattice, rows are cast to the union schema, and each declaration is
-compared with the one before it in order. Everything but the reading of file footers is expressions that the JVM runs.
+compared with the one before it in order. A list of fields is written once and named by its shape, two hashes of it:
+declarations travel as shapes, and lists are compared once for each pair of shapes that follow one another, as there are
+few of them however many declarations there are. Everything but the reading of file footers is expressions that the JVM
+runs.
 """
 
 from __future__ import annotations
@@ -14,17 +17,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Where each type goes when it meets one it does not hold: the edges of the lattice, upwards. 'string' is the top.
+from chronoloom.session import cut_lineage
+
+#: Where each type goes when it meets one it does not hold: the edges of the lattice, upwards, to types that hold every
+#: value exactly. 'i128' is not on the wire: it is what holds both u64 and i64. WideString is the top. Any two types have
+#: one least type above them, so a u32 and a float meet at the top: with an edge from u32 to f64, u32 and i8 would have two.
 PARENTS = {
     "bool": ("u8", "i8"),
     "u8": ("u16", "i16"),
     "u16": ("u32", "i32"),
     "u32": ("u64", "i64"),
-    "u64": ("f64",),
+    "u64": ("i128",),
     "i8": ("i16",),
     "i16": ("i32", "f32"),
     "i32": ("i64", "f64"),
-    "i64": ("f64",),
+    "i64": ("i128",),
+    "i128": ("WideString",),
     "f32": ("f64",),
     "f64": ("WideString",),
     "AnsiString": ("WideString",),
@@ -32,7 +40,8 @@ PARENTS = {
     "WideString": (),
 }
 TOP = "WideString"
-#: The same for the columns of files, by the names of Spark's types.
+#: The same for the columns of files, by the names of Spark's types. A bigint and a double meet in a string, since neither
+#: a double nor a decimal holds all of both.
 COLUMN_PARENTS = {
     "boolean": ("string",),
     "tinyint": ("smallint",),
@@ -79,98 +88,135 @@ def _fields(column: str, name: str, offset: str, kind: str) -> Column:
     return F.transform(F.col(f"`{column}`"), lambda x: F.struct(x[name].alias("name"), x[offset].cast("long").alias("offset"), x[kind].alias("type_name")))
 
 
-def declarations(df: DataFrame, source: Sequence[str], record: str, seq: str, version: str, fields: str = "fields", name: str = "name", offset: str = "offset", kind: str = "type_name") -> DataFrame:
-    """source..., record, fields: of several declarations of a record in one source the one with the highest seq.
+_LIST = "array<struct<name: string, offset: bigint, type_name: string>>"
+
+
+def shaped(df: DataFrame, fields: str = "fields") -> tuple[DataFrame, DataFrame]:
+    """df with _shape in the place of fields, and the table _shape, fields of every list there is.
 
-    Declarations with null fields or a null record do not count; equal seq: the last delivered. Headers are folded map-
-    side before the shuffle.
+    Two lists are taken for equal where both of their 64-bit hashes are.
     """
-    rows = df.where(F.col(f"`{fields}`").isNotNull() & F.col(f"`{record}`").isNotNull())
-    packed = F.max(F.struct(F.col(f"`{seq}`").alias("seq"), F.col(f"`{version}`").alias("version"), _fields(fields, name, offset, kind).alias("fields"))).alias("_last")
-    return rows.groupBy(*source, record).agg(packed).select(*source, record, "_last.fields")
+    shape = F.struct(F.xxhash64(fields).alias("a"), F.xxhash64(F.lit(1), F.reverse(fields)).alias("b"))
+    lists = df.select(shape.alias("_shape"), F.col(fields).alias("fields")).groupBy("_shape").agg(F.first("fields").alias("fields"))
+    return df.withColumn("_shape", shape).drop(fields), lists
 
 
-def changes(declared: DataFrame, group: str, record: str, source: str, order: Sequence[str]) -> DataFrame:
-    """group, source, record, field_name, change, at: how each declaration differs from the record's one before it.
+def declarations(df: DataFrame, source: Sequence[str], record: str, seq: str, version: str, fields: str = "fields", name: str = "name", offset: str = "offset", kind: str = "type_name") -> tuple[DataFrame, DataFrame]:
+    """source..., record, _shape: of several declarations of a record in one source the one with the highest seq; and the lists.
 
-    declared has one row per source and record, with fields, an array of (name, offset, type_name). In the order of the
-    order columns within a group: a name that goes and one that comes with equal offset and type is 'renamed' (the new
-    name; of several alike as many as go, in field order), else 'added' and 'removed'; a name in both is 'retyped'
-    and/or 'moved'. A record whose first fields equal the last fields of another record of the group that ended before
-    is 'type_renamed', with field_name ''. Names are case-sensitive. Null names and offsets compare as values; of a
-    name declared twice in one list the first counts. No declaration, no rows; the first one of a record is no change.
+    Declarations with null fields or a null record do not count; equal seq: the last delivered, then the greater shape.
     """
+    rows = df.where(F.col(f"`{fields}`").isNotNull() & F.col(f"`{record}`").isNotNull())
+    rows, lists = shaped(rows.withColumn("_fields", _fields(fields, name, offset, kind)), "_fields")
+    packed = F.max(F.struct(F.col(f"`{seq}`").alias("seq"), F.col(f"`{version}`").alias("version"), "_shape")).alias("_last")
+    return rows.groupBy(*source, record).agg(packed).select(*source, record, "_last._shape"), lists
+
+
+def _differences(was: Column, now: Column) -> Column:
+    """The changes from one list of fields to the next: (field_name, change)."""
     same = lambda a, b: a["offset"].eqNullSafe(b["offset"]) & a["type_name"].eqNullSafe(b["type_name"])
     one_name = lambda a, b: a["name"].eqNullSafe(b["name"])
     absent = lambda some, others: F.filter(some, lambda x: ~F.exists(others, lambda y: one_name(x, y)))
     alike = lambda some, x: F.size(F.filter(some, lambda y: same(x, y)))
     nth = lambda some, x, i: F.size(F.filter(F.slice(some, 1, i + 1), lambda y: same(x, y)))
-
-    window = Window.partitionBy(group, record).orderBy(*order)
-    once = F.filter(F.col("fields"), lambda x, i: ~F.exists(F.slice(F.col("fields"), 1, i), lambda y: one_name(x, y)))
-    steps = declared.withColumn("_now", once).withColumn("_was", F.lag("_now").over(window)).where("_was is not null")
-    steps = steps.where(~F.col("_was").eqNullSafe(F.col("_now")))
-    steps = steps.withColumn("_gone", absent(F.col("_was"), F.col("_now"))).withColumn("_come", absent(F.col("_now"), F.col("_was")))
-    gone, come, was, now = F.col("_gone"), F.col("_come"), F.col("_was"), F.col("_now")
+    gone, come = absent(was, now), absent(now, was)
 
     def said(fields: Column, change: str) -> Column:
         return F.transform(fields, lambda x: F.struct(x["name"].alias("field_name"), F.lit(change).alias("change")))
 
     differs = lambda x, part: F.exists(was, lambda y: one_name(x, y) & ~x[part].eqNullSafe(y[part]))
-    found = F.concat(
+    return F.concat(
         said(F.filter(come, lambda x, i: nth(come, x, i) <= alike(gone, x)), "renamed"),
         said(F.filter(come, lambda x, i: nth(come, x, i) > alike(gone, x)), "added"),
         said(F.filter(gone, lambda x, i: nth(gone, x, i) > alike(come, x)), "removed"),
         said(F.filter(now, lambda x: differs(x, "type_name")), "retyped"),
         said(F.filter(now, lambda x: differs(x, "offset")), "moved"),
     )
+
+
+def changes(declared: DataFrame, lists: DataFrame, group: str, record: str, source: str, order: Sequence[str]) -> DataFrame:
+    """group, source, record, field_name, change, at, union_type: how each declaration differs from the record's one before it.
+
+    declared has one row per source and record with _shape, lists the fields of each shape. In the order of the order
+    columns within a group: a name that goes and one that comes with equal offset and type is 'renamed' (the new name; of
+    several alike as many as go, in field order), else 'added' and 'removed'; a name in both is 'retyped' and/or 'moved'.
+    A record whose first fields equal the last fields of another record of the group that ended before is 'type_renamed',
+    with field_name ''. Names are case-sensitive. Null names and offsets compare as values; of a name declared twice in
+    one list the first counts. union_type is the lattice join of all types that the field has in the group, to which its
+    values are cast. No declaration, no rows; the first one of a record is no change.
+    """
+    one_name = lambda a, b: a["name"].eqNullSafe(b["name"])
+    window = Window.partitionBy(group, record).orderBy(*order)
+    steps = declared.withColumn("_was", F.lag("_shape").over(window)).where("_was is not null and _was <> _shape")
     columns = [group, source, record]
-    log = steps.select(*columns, F.posexplode(found).alias("at", "_row")).select(*columns, "_row.*", "at")
 
-    # a record that starts with the fields another one ended with: only first and last declarations meet, by their hash
+    # each pair of shapes that follow one another is compared once
+    once = lists.withColumn("fields", F.filter("fields", lambda x, i: ~F.exists(F.slice(F.col("fields"), 1, i), lambda y: one_name(x, y))))
+    pairs = steps.select("_was", "_shape").distinct()
+    pairs = pairs.join(once.select(F.col("_shape").alias("_was"), F.col("fields").alias("_before")), "_was").join(once.select("_shape", F.col("fields").alias("_now")), "_shape")
+    pairs = pairs.select("_was", "_shape", _differences(F.col("_before"), F.col("_now")).alias("_found")).where("size(_found) > 0")
+    log = steps.join(pairs, ["_was", "_shape"]).select(*columns, F.posexplode("_found").alias("at", "_row")).select(*columns, "_row.*", "at")
+    union = unions(declared, lists, group, record)
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col(record) == F.col("_record")) & F.col("field_name").eqNullSafe(F.col("_name"))
+    log = log.join(union, same, "left").select(*columns, "field_name", "change", "at", "union_type")
+
+    # a record that starts with the shape another one ended with: only first and last declarations meet
     place = F.struct(*order)
-    lives = declared.groupBy(group, record).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("fields", place).alias("began"), F.max_by("fields", place).alias("ended"), F.min_by(source, place).alias(source))
-    ends = lives.select(group, F.col(record).alias("_other"), F.col("last").alias("_last"), "ended", F.xxhash64("ended").alias("_hash"))
+    lives = declared.groupBy(group, record).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("_shape", place).alias("began"), F.max_by("_shape", place).alias("ended"), F.min_by(source, place).alias(source))
     # of the records that end alike the one that ended first answers whether any ended before
-    ends = ends.groupBy(F.col(group).alias("_group"), F.col("_hash").alias("_ends"), "ended").agg(F.min("_last").alias("_last"))
-    begins = lives.drop("ended").withColumn("_hash", F.xxhash64("began"))
-    met = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_hash") == F.col("_ends"))
-    renamed = begins.join(ends, met).where((F.col("began") == F.col("ended")) & (F.col("_last") < F.col("first")))
-    types = renamed.select(*columns, F.lit("").alias("field_name"), F.lit("type_renamed").alias("change"), F.lit(0).alias("at"))
+    ends = lives.groupBy(F.col(group).alias("_group"), F.col("ended").alias("_ended")).agg(F.min("last").alias("_last"))
+    met = F.col(group).eqNullSafe(F.col("_group")) & (F.col("began") == F.col("_ended"))
+    renamed = lives.join(ends, met).where(F.col("_last") < F.col("first"))
+    types = renamed.select(*columns, F.lit("").alias("field_name"), F.lit("type_renamed").alias("change"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("union_type"))
     return log.unionByName(types)
 
 
-def consistent_fields(declared: DataFrame, group: str, record: str, source: str) -> DataFrame:
+def unions(declared: DataFrame, lists: DataFrame, group: str, record: str) -> DataFrame:
+    """_group, _record, _name, union_type: the lattice join of all types that each field has in the group."""
+    used = declared.select(group, record, "_shape").distinct().join(lists, "_shape")
+    rows = used.select(group, record, F.explode("fields").alias("_f")).groupBy(F.col(group).alias("_group"), F.col(record).alias("_record"), F.col("_f.name").alias("_name"))
+    return rows.agg(F.collect_set("_f.type_name").alias("_kinds")).select("_group", "_record", "_name", folded_type(F.col("_kinds")).alias("union_type"))
+
+
+def consistent_fields(declared: DataFrame, lists: DataFrame, group: str, record: str, source: str) -> DataFrame:
     """Every field of every declaration in one table: group, source, record, name, offset, type_name, union_type.
 
     union_type is the lattice join of all types that the field has had in the group, so every source casts to it. A null
     group or name is one of its own.
     """
-    rows = declared.select(group, source, record, F.explode("fields").alias("_f")).select(group, source, record, "_f.*")
-    union = rows.groupBy(group, record, "name").agg(F.collect_set("type_name").alias("_kinds"))
-    union = union.select(F.col(group).alias("_group"), F.col(record).alias("_record"), F.col("name").alias("_name"), folded_type(F.col("_kinds")).alias("union_type"))
+    rows = declared.join(lists, "_shape").select(group, source, record, F.explode("fields").alias("_f")).select(group, source, record, "_f.*")
     same = F.col(group).eqNullSafe(F.col("_group")) & (F.col(record) == F.col("_record")) & F.col("name").eqNullSafe(F.col("_name"))
-    return rows.join(union, same).select(group, source, record, "name", "offset", "type_name", "union_type")
+    return rows.join(unions(declared, lists, group, record), same).select(group, source, record, "name", "offset", "type_name", "union_type")
 
 
-def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Paths to rows (path, position, name, type) from the footers of Parquet files; no row is read."""
+def _schema_of(path: str) -> pa.Schema:
+    """The footer of a Parquet file, on any file system that its URI names; no row is read."""
     import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        system, place = fs.FileSystem.from_uri(path)
+        return pq.read_schema(place, filesystem=system)
+    return pq.read_schema(path)
+
+
+def _footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, order) to rows (path, order, fields) from the footers."""
     from pyspark.sql.pandas.types import from_arrow_type
 
+    kind = pa.list_(pa.struct([("name", pa.string()), ("offset", pa.int64()), ("type_name", pa.string())]))
     for batch in batches:
-        rows = []
-        for path in batch.column(0).to_pylist():
-            schema = pq.read_schema(path.removeprefix("file://").removeprefix("file:"))
-            rows += [(path, i, f.name, from_arrow_type(f.type, prefer_timestamp_ntz=True).simpleString()) for i, f in enumerate(schema)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], names=["path", "position", "name", "type"])
+        schemas = [_schema_of(p) for p in batch.column(0).to_pylist()]
+        fields = [[{"name": f.name, "offset": i, "type_name": from_arrow_type(f.type, prefer_timestamp_ntz=True).simpleString()} for i, f in enumerate(s)] for s in schemas]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fields, kind)], names=["path", "at", "fields"])
 
 
 def file_schemas(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """path, position, name, type of every column of every Parquet file, the footers read in parallel."""
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(len(paths), 512)))
-    return listed.mapInArrow(_footers, "path string, position int, name string, type string")
+    """path, at (its place in paths) and fields of every Parquet file, the footers read in parallel."""
+    listed = spark.createDataFrame(list(zip(paths, range(len(paths)), strict=True)), "path string, at long").repartition(max(1, min(len(paths), 512)))
+    return listed.mapInArrow(_footers, f"path string, at long, fields {_LIST}")
 
 
 def read_union(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -178,33 +224,20 @@ def read_union(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Da
 
     paths are in order. Columns missing in a file are null, types are promoted through the lattice, a column that goes
     while one of the same position and type comes is 'renamed' and its values go into the new column. Columns come in
-    order of first appearance. Files of one schema are read together, so the plan grows with schemas, not with files.
+    order of first appearance. Files of one schema are read together, so the plan grows with schemas, not with files. The
+    driver, which has the paths, gets a shape for each of them, and each schema and each way it was renamed once.
     """
-    order = {p: i for i, p in enumerate(paths)}
-    heads: dict[str, list[tuple[int, str, str]]] = {p: [] for p in paths}
-    for row in file_schemas(spark, paths).collect():  # a row for each column of each file header, no data
-        heads[row.path].append((row.position, row.name, row.type))
+    heads, lists = shaped(file_schemas(spark, paths))
+    heads = cut_lineage(heads.withColumn("files", F.lit("files")).withColumn("group", F.lit("")))
+    lists = cut_lineage(lists)
+    log = cut_lineage(changes(heads, lists, "group", "files", "path", ["at"]).withColumnRenamed("at", "_nth").join(heads.select("path", "at"), "path"))
+    if not paths:
+        return spark.createDataFrame([], "_empty int").drop("_empty"), log.select("at", "path", "field_name", "change")
+    schemas = {tuple(r._shape): [(f.name, f.type_name, f.offset) for f in r.fields] for r in lists.collect()}
     shapes: dict[tuple, list[str]] = {}
-    for path in sorted(paths, key=order.__getitem__):
-        shapes.setdefault(tuple((n, t) for _, n, t in sorted(heads[path])), []).append(path)
-
-    report: list[tuple[int, str, str, str]] = []
-    newer: dict[str, str] = {}
-    before: dict[str, tuple[int, str]] | None = None
-    for path in sorted(paths, key=order.__getitem__):
-        now = {n: (i, t) for i, n, t in heads[path]}
-        if before is not None and now != before:
-            gone, come = [n for n in before if n not in now], [n for n in now if n not in before]
-            for name in come:
-                old = next((g for g in gone if before[g] == now[name]), None)
-                if old is not None:
-                    gone.remove(old)
-                    newer[old] = name
-                report.append((order[path], path, name, "renamed" if old is not None else "added"))
-            report += [(order[path], path, n, "removed") for n in gone]
-            report += [(order[path], path, n, "retyped") for n in now if n in before and before[n][1] != now[n][1]]
-            report += [(order[path], path, n, "moved") for n in now if n in before and before[n][0] != now[n][0]]
-        before = now
+    for row in heads.select("path", "_shape", "at").orderBy("at").collect():
+        shapes.setdefault(tuple(row._shape), []).append(row.path)
+    newer = _renames(heads, lists)
 
     def final(name: str, present: set[str]) -> str:
         seen = {name}
@@ -215,20 +248,31 @@ def read_union(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Da
 
     kinds: dict[str, list[str]] = {}
     for shape in shapes:
-        present = {n for n, _ in shape}
-        for name, kind in shape:
+        present = {n for n, _, _ in schemas[shape]}
+        for name, kind, _ in schemas[shape]:
             kinds.setdefault(final(name, present), []).append(kind)
     union = {n: reduce(lambda a, b: promote(a, b, COLUMN_PARENTS, "string"), sorted(set(k))) for n, k in kinds.items()}
     parts = []
     for shape, files in shapes.items():
-        present = {n for n, _ in shape}
-        source = {final(n, present): n for n, _ in shape}
-        own = dict(shape)
+        present = {n for n, _, _ in schemas[shape]}
+        source, own = {final(n, present): n for n in present}, {n: k for n, k, _ in schemas[shape]}
         columns = [
             (F.col(f"`{source[n]}`") if own[source[n]] == kind else F.col(f"`{source[n]}`").cast(kind)).alias(n) if n in source else F.lit(None).cast(kind).alias(n)
             for n, kind in union.items()
         ]
         parts.append(spark.read.parquet(*files).select(*columns))
-    table = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "_empty int").drop("_empty")
-    log = spark.createDataFrame(report, "at int, path string, field_name string, change string").orderBy("at")
-    return table, log
+    return reduce(DataFrame.unionByName, parts), log.select("at", "path", "field_name", "change", "_nth").orderBy("at", "_nth").drop("_nth")
+
+
+def _renames(heads: DataFrame, lists: DataFrame) -> dict[str, str]:
+    """Old and new name of each renamed column, the last time it was renamed: one row for each pair of names."""
+    window = Window.partitionBy("group").orderBy("at")
+    steps = heads.withColumn("_was", F.lag("_shape").over(window)).where("_was is not null and _was <> _shape").groupBy("_was", "_shape").agg(F.max("at").alias("at"))
+    both = steps.join(lists.select(F.col("_shape").alias("_was"), F.col("fields").alias("_before")), "_was").join(lists.select("_shape", F.col("fields").alias("_now")), "_shape")
+    names = lambda c: F.transform(F.col(c), lambda x: x["name"])
+    gone = F.filter("_before", lambda x: ~F.array_contains(names("_now"), x["name"]))
+    come = F.filter("_now", lambda x: ~F.array_contains(names("_before"), x["name"]))
+    # at one position there is one column, so what goes and what comes there are one to one
+    met = F.explode(F.transform(gone, lambda g: F.struct(g["name"].alias("old"), F.try_element_at(F.filter(come, lambda c: (c["offset"] == g["offset"]) & (c["type_name"] == g["type_name"])), F.lit(1))["name"].alias("new"))))
+    pairs = both.select("at", met.alias("_m")).select("at", "_m.*").where("new is not null").groupBy("old").agg(F.max_by("new", "at").alias("new"))
+    return {r.old: r.new for r in pairs.collect()}

@@ -11,26 +11,27 @@ from chronoloom.operators.interval_map import periods_and_gaps
 from chronoloom.operators.records import latest_delivery, micros
 from chronoloom.operators.schema_drift import changes, consistent_fields, declarations, read_union
 from chronoloom.operators.spikes import implausible
-from chronoloom.session import table
+from chronoloom.session import cut_lineage, table
 
 
-def _declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The declaration of each full_name that counts in each capture, with the capture's app and start."""
+def _declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The declaration of each full_name that counts in each capture, with the capture's app and start; and the lists of fields."""
     named = F.coalesce("full_name", F.concat("logger", F.lit("."), "name"))
     types = table(spark, sf_dir, "event_types").select("capture_id", named.alias("full_name"), "seq", "fields", "ingested_at")
     captures = latest_delivery(table(spark, sf_dir, "captures"), ["capture_id"], "ingested_at", ["app", "started_at"])
-    return declarations(types, ["capture_id"], "full_name", "seq", "ingested_at").join(captures, "capture_id")
+    declared, lists = declarations(types, ["capture_id"], "full_name", "seq", "ingested_at")
+    return cut_lineage(declared.join(captures, "capture_id")), cut_lineage(lists)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each change of a declared field or full_name from one capture of an app to the next."""
-    found = changes(_declared(spark, sf_dir), "app", "full_name", "capture_id", ["started_at", "capture_id"])
+    found = changes(*_declared(spark, sf_dir), "app", "full_name", "capture_id", ["started_at", "capture_id"])
     return found.select("capture_id", "full_name", "field_name", "change")
 
 
 def p1_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every declared field with the type that holds all its types in the app."""
-    fields = consistent_fields(_declared(spark, sf_dir), "app", "full_name", "capture_id")
+    fields = consistent_fields(*_declared(spark, sf_dir), "app", "full_name", "capture_id")
     return fields.withColumnRenamed("name", "field_name").withColumn("offset", F.col("offset").cast("long"))
 
 
@@ -112,7 +113,27 @@ d AS (SELECT capture_id, full_name, fields, app, started_at FROM (
   WHERE k = 1 AND full_name IS NOT NULL)
 """
 
+# the least type that holds two, by width and kind, said without the operator's table
+_RANKS = """
+k AS (SELECT app, full_name, x.name AS field_name, list_sort(list(DISTINCT x.type_name)) AS kinds FROM (SELECT app, full_name, unnest(fields) AS x FROM d) GROUP BY ALL),
+b AS (SELECT *, len(kinds) AS m, list_bool_and(list_transform(kinds, lambda t: t IN ('bool', 'u8', 'u16', 'u32', 'u64', 'i8', 'i16', 'i32', 'i64'))) AS whole,
+  list_bool_and(list_transform(kinds, lambda t: t IN ('bool', 'u8', 'u16', 'u32', 'u64', 'i8', 'i16', 'i32', 'i64', 'f32', 'f64'))) AS number,
+  list_max(list_transform(kinds, lambda t: CASE WHEN t LIKE 'u%' THEN CAST(substr(t, 2) AS INT) WHEN t = 'bool' THEN 1 ELSE 0 END)) AS un,
+  list_max(list_transform(kinds, lambda t: CASE WHEN t LIKE 'i%' THEN CAST(substr(t, 2) AS INT) ELSE 0 END)) AS si,
+  list_max(list_transform(kinds, lambda t: CASE WHEN t LIKE 'f%' THEN CAST(substr(t, 2) AS INT) ELSE 0 END)) AS re FROM k),
+w AS (SELECT *, CASE WHEN si = 0 THEN un WHEN un = 64 THEN 128 WHEN un < si THEN si ELSE 2 * un END AS bits FROM b),
+un AS (SELECT app, full_name, field_name, CASE WHEN m = 1 THEN kinds[1]
+  WHEN whole AND si = 0 THEN 'u' || un WHEN whole THEN 'i' || CASE WHEN un = 1 THEN si ELSE bits END
+  WHEN number AND re > 0 AND (un >= 32 OR si > 32) THEN 'WideString'
+  WHEN number AND (re = 64 OR un >= 16 OR si > 16) THEN 'f64' WHEN number THEN 'f32' ELSE 'WideString' END AS union_type FROM w)
+"""
+
 ORACLES = {
+    "p1_fields": _DECLARED
+    + ","
+    + _RANKS
+    + """SELECT d.app, d.capture_id, d.full_name, x.name AS field_name, CAST(x."offset" AS BIGINT) AS "offset", x.type_name AS type_name, union_type
+  FROM (SELECT app, capture_id, full_name, unnest(fields) AS x FROM d) d JOIN un ON un.app = d.app AND un.full_name = d.full_name AND un.field_name = d.x.name""",
     "p1_found": _DECLARED
     + """,
 o AS (SELECT *, row_number() OVER (PARTITION BY app, full_name ORDER BY started_at, capture_id) AS n FROM d),

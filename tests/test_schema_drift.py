@@ -3,7 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators.schema_drift import COLUMN_PARENTS, PARENTS, TOP, changes, consistent_fields, declarations, promote, read_union
+from chronoloom.operators.schema_drift import COLUMN_PARENTS, PARENTS, TOP, changes, consistent_fields, declarations, promote, read_union, shaped
 
 DECLARED = "app string, started int, capture_id long, full_name string, fields array<struct<name:string, offset:long, type_name:string>>"
 
@@ -11,14 +11,16 @@ DECLARED = "app string, started int, capture_id long, full_name string, fields a
 def test_lattice_is_commutative_idempotent_and_holds_both():
     for a, b in itertools.product(PARENTS, repeat=2):
         assert promote(a, b) == promote(b, a) and promote(a, a) == a
-    assert promote("u8", "i8") == "i16" and promote("u32", "i32") == "i64" and promote("u64", "i64") == "f64"
+    for a, b, c in itertools.product(PARENTS, repeat=3):
+        assert promote(promote(a, b), c) == promote(a, promote(b, c)), (a, b, c)
+    assert promote("u8", "i8") == "i16" and promote("u32", "i32") == "i64" and promote("u64", "i64") == "i128" and promote("i32", "f32") == "f64" and promote("i64", "f64") == TOP
     assert promote("bool", "u16") == "u16" and promote("AnsiString", "u8") == TOP
     assert promote("int", "bigint", COLUMN_PARENTS, "string") == "bigint" and promote("date", "timestamp_ntz", COLUMN_PARENTS, "string") == "timestamp_ntz"
 
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, DECLARED)
-    return sorted((r.capture_id, r.full_name, r.field_name, r.change) for r in changes(df, "app", "full_name", "capture_id", ["started", "capture_id"]).collect())
+    return sorted((r.capture_id, r.full_name, r.field_name, r.change) for r in changes(*shaped(df), "app", "full_name", "capture_id", ["started", "capture_id"]).collect())
 
 
 def test_each_kind_of_change(spark):
@@ -43,9 +45,10 @@ def test_declarations_and_consistent_fields(spark):
     fields = "array<struct<name:string, offset:int, type_name:string>>"
     rows = [(1, "T", 5, 0, [("a", 0, "u8")]), (1, "T", 6, 0, [("a", 0, "i8")]), (1, "T", 9, 0, None), (2, "T", 1, 0, [("a", 0, "u8")]), (2, None, 1, 0, [("a", 0, "u8")])]
     df = spark.createDataFrame(rows, f"capture_id long, full_name string, seq long, at int, fields {fields}")
-    kept = declarations(df, ["capture_id"], "full_name", "seq", "at").withColumn("app", F.lit("x"))
-    assert {(r.capture_id, r.fields[0].type_name) for r in kept.collect()} == {(1, "i8"), (2, "u8")}
-    assert {(r.capture_id, r.type_name, r.union_type) for r in consistent_fields(kept, "app", "full_name", "capture_id").collect()} == {(1, "i8", "i16"), (2, "u8", "i16")}
+    kept, lists = declarations(df, ["capture_id"], "full_name", "seq", "at")
+    kept = kept.withColumn("app", F.lit("x"))
+    assert {(r.capture_id, r.fields[0].type_name) for r in kept.join(lists, "_shape").collect()} == {(1, "i8"), (2, "u8")}
+    assert {(r.capture_id, r.type_name, r.union_type) for r in consistent_fields(kept, lists, "app", "full_name", "capture_id").collect()} == {(1, "i8", "i16"), (2, "u8", "i16")}
 
 
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])

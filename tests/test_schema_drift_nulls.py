@@ -1,6 +1,6 @@
 """Null apps and names, and the query that reads drifting files."""
 
-from chronoloom.operators.schema_drift import changes, consistent_fields
+from chronoloom.operators.schema_drift import changes, consistent_fields, shaped
 from chronoloom.plans.problems import p1_union
 
 DECLARED = "app string, full_name string, capture_id long, at int, fields array<struct<name: string, offset: bigint, type_name: string>>"
@@ -8,13 +8,13 @@ DECLARED = "app string, full_name string, capture_id long, at int, fields array<
 
 def test_null_group_and_name_stay_in_the_table(spark):
     rows = [(None, "E.A", 1, 1, [("x", 0, "u8"), (None, 1, "u8")]), (None, "E.A", 2, 2, [("x", 0, "u16")]), ("a", "E.A", 3, 1, [(None, 0, "u8")])]
-    got = consistent_fields(spark.createDataFrame(rows, DECLARED), "app", "full_name", "capture_id").collect()
+    got = consistent_fields(*shaped(spark.createDataFrame(rows, DECLARED)), "app", "full_name", "capture_id").collect()
     assert {(r.app, r.capture_id, r.name, r.union_type) for r in got} == {(None, 1, "x", "u16"), (None, 1, None, "u8"), (None, 2, "x", "u16"), ("a", 3, None, "u8")} and len(got) == 4
 
 
 def test_renamed_type_of_a_null_group(spark):
     rows = [(None, "E.Old", 1, 1, [("x", 0, "u8")]), (None, "E.New", 2, 2, [("x", 0, "u8")]), ("a", "E.Other", 3, 3, [("x", 0, "u8")])]
-    got = changes(spark.createDataFrame(rows, DECLARED), "app", "full_name", "capture_id", ["at", "capture_id"]).collect()
+    got = changes(*shaped(spark.createDataFrame(rows, DECLARED)), "app", "full_name", "capture_id", ["at", "capture_id"]).collect()
     assert [(r.app, r.capture_id, r.full_name, r.change) for r in got] == [(None, 2, "E.New", "type_renamed")]
 
 
