@@ -42,11 +42,20 @@ def test_periods_and_gaps_match_brute_force(spark):
         spans.append((rng.choice([1, 1, 1, 2, None]), rng.choice(["work", "wait", None]), rng.choice([b, b, b, None]), b + rng.randrange(-3, 40)))
     spans += spans[:50] + [(2, "work", 0, 700)]
     df = spark.createDataFrame([(*s, "clash") for s in spans], SCHEMA)
-    for shard in (7, 64, 10_000):
-        got = {tuple(r) for r in periods_and_gaps(df, ["k", "kind"], "b", "e", shard).collect()}
+    for shard, hot in ((7, 10**6), (64, 5), (10_000, 10**6)):
+        got = {tuple(r) for r in periods_and_gaps(df, ["k", "kind"], "b", "e", shard, hot).collect()}
         assert got == brute(spans)
 
 
+def test_one_endless_span_costs_no_more_than_another(spark):
+    spans = [(1, "x", 5, 2**62, ""), (1, "x", 1, 3, ""), (1, "x", 4000, 4100, ""), (1, "x", 2**62 + 9, 2**62 + 11, ""), (None, "y", -(2**61), -7, ""), (None, "y", -6, 40, ""), (2, "x", 1, 30, ""), (2, "x", 31, 33, "")]
+    got = {tuple(r) for r in periods_and_gaps(spark.createDataFrame(spans, SCHEMA), ["k", "kind"], "b", "e", 10).collect()}
+    assert got == {
+        (1, "x", "period", 1, 3), (1, "x", "gap", 3, 5), (1, "x", "period", 5, 2**62), (1, "x", "gap", 2**62, 2**62 + 9), (1, "x", "period", 2**62 + 9, 2**62 + 11),
+        (None, "y", "period", -(2**61), -7), (None, "y", "gap", -7, -6), (None, "y", "period", -6, 40), (2, "x", "period", 1, 30), (2, "x", "gap", 30, 31), (2, "x", "period", 31, 33),
+    }
+
+
 def test_gap_columns_empty_and_negative(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert periods_and_gaps(df, ["k", "kind"], "b", "e").count() == 0
