@@ -2,7 +2,7 @@
 
 A declaration is the list of fields (name, offset, type) that one header gives for one record type. Headers are read in
 parallel, types are folded through a promotion lattice, rows are cast to the union schema, and each declaration is
-compared with the one before it in order. A list of fields is written once and named by its shape, two hashes of it:
+compared with the one before it in order. A list of fields is written once and named by its shape, a hash of it:
 declarations travel as shapes, and lists are compared once for each pair of shapes that follow one another, as there are
 few of them however many declarations there are. Everything but the reading of file footers is expressions that the JVM
 runs.
@@ -91,14 +91,14 @@ def _fields(column: str, name: str, offset: str, kind: str) -> Column:
 _LIST = "array<struct<name: string, offset: bigint, type_name: string>>"
 
 
-def shaped(df: DataFrame, fields: str = "fields") -> tuple[DataFrame, DataFrame]:
-    """df with _shape in the place of fields, and the table _shape, fields of every list there is.
+def shaped(df: DataFrame, fields: str = "fields", name: str = "name", offset: str = "offset", kind: str = "type_name") -> tuple[DataFrame, DataFrame]:
+    """df with _shape in the place of fields, and the table _shape, fields (name, offset, type_name) of every list there is.
 
-    Two lists are taken for equal where both of their 64-bit hashes are.
+    Two lists are taken for equal where the 64-bit hashes of their names, offsets and types are.
     """
-    shape = F.struct(F.xxhash64(fields).alias("a"), F.xxhash64(F.lit(1), F.reverse(fields)).alias("b"))
-    lists = df.select(shape.alias("_shape"), F.col(fields).alias("fields")).groupBy("_shape").agg(F.first("fields").alias("fields"))
-    return df.withColumn("_shape", shape).drop(fields), lists
+    shape = F.xxhash64(f"{fields}.{name}", F.col(f"{fields}.{offset}").cast("array<bigint>"), f"{fields}.{kind}")
+    lists = df.select(shape.alias("_shape"), F.col(fields).alias("_list")).groupBy("_shape").agg(F.first("_list").alias("_list"))
+    return df.withColumn("_shape", shape).drop(fields), lists.select("_shape", _fields("_list", name, offset, kind).alias("fields"))
 
 
 def declarations(df: DataFrame, source: Sequence[str], record: str, seq: str, version: str, fields: str = "fields", name: str = "name", offset: str = "offset", kind: str = "type_name") -> tuple[DataFrame, DataFrame]:
@@ -106,8 +106,7 @@ def declarations(df: DataFrame, source: Sequence[str], record: str, seq: str, ve
 
     Declarations with null fields or a null record do not count; equal seq: the last delivered, then the greater shape.
     """
-    rows = df.where(F.col(f"`{fields}`").isNotNull() & F.col(f"`{record}`").isNotNull())
-    rows, lists = shaped(rows.withColumn("_fields", _fields(fields, name, offset, kind)), "_fields")
+    rows, lists = shaped(df.where(F.col(f"`{fields}`").isNotNull() & F.col(f"`{record}`").isNotNull()), fields, name, offset, kind)
     packed = F.max(F.struct(F.col(f"`{seq}`").alias("seq"), F.col(f"`{version}`").alias("version"), "_shape")).alias("_last")
     return rows.groupBy(*source, record).agg(packed).select(*source, record, "_last._shape"), lists
 
@@ -233,10 +232,10 @@ def read_union(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, Da
     log = cut_lineage(changes(heads, lists, "group", "files", "path", ["at"]).withColumnRenamed("at", "_nth").join(heads.select("path", "at"), "path"))
     if not paths:
         return spark.createDataFrame([], "_empty int").drop("_empty"), log.select("at", "path", "field_name", "change")
-    schemas = {tuple(r._shape): [(f.name, f.type_name, f.offset) for f in r.fields] for r in lists.collect()}
-    shapes: dict[tuple, list[str]] = {}
+    schemas = {r._shape: [(f.name, f.type_name, f.offset) for f in r.fields] for r in lists.collect()}
+    shapes: dict[int, list[str]] = {}
     for row in heads.select("path", "_shape", "at").orderBy("at").collect():
-        shapes.setdefault(tuple(row._shape), []).append(row.path)
+        shapes.setdefault(row._shape, []).append(row.path)
     newer = _renames(heads, lists)
 
     def final(name: str, present: set[str]) -> str:
