@@ -387,13 +387,6 @@ def queue_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("mean_us", F.round(F.col("lag_us") / F.nullif(F.col("submits") - F.col("unplaced"), F.lit(0)), 3))
 
 
-def queue_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often one kind of span follows another on a queue of a capture."""
-    order = Window.partitionBy("capture_id", "queue").orderBy("b", "e", "span_id")
-    rows = _gpu(spark, sf_dir).withColumn("other", F.lead("kind").over(order)).where("other is not null")
-    return rows.groupBy("queue", "kind", "other").agg(F.count(F.lit(1)).alias("n"))
-
-
 def parallelism_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per capture: cycles in which the game thread's frames run alone or beside others, the peak, and the gain that sharing the lone part out to four workers could bring at most."""
     rows = frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_type", F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e"))
@@ -468,7 +461,7 @@ QUERIES = {
         frame_distribution, frame_histogram, busiest_series, over_budget_frames, verdict_counts, frame_numbering, warm_up, display_cap, series_stats, run_spread,
         queue_totals, queue_frame_placement, gpu_frames_usable, queue_passes, clock_scale, partner_frames, bottleneck_verdicts,
         call_tree, frame_self_time, top_self_nodes, frame_work_topn, scope_kinds, pattern_presence, candidates, dimension_misses,
-        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path, queue_lag, queue_fences, parallelism_threads, module_rollup, label_facts,
+        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path, queue_lag, parallelism_threads, module_rollup, label_facts,
     )
 }
 
@@ -563,7 +556,6 @@ ORACLES |= {
     + """, l AS (SELECT capture_id, tid, b, max(frame_id) AS frame_id FROM win GROUP BY ALL),
 p AS (SELECT g.capture_id, g.tid, g.base_us - l.b AS lag FROM (SELECT * FROM gf WHERE base_us > 0) g ASOF LEFT JOIN l ON g.capture_id = l.capture_id AND g.tid = l.tid AND g.base_us >= l.b)
 SELECT *, round(lag_us / nullif(submits - unplaced, 0), 3) AS mean_us FROM (SELECT capture_id, tid, count(*) AS submits, count(*) FILTER (WHERE lag IS NULL) AS unplaced, sum(lag) AS lag_us, max(lag) AS longest_us FROM p GROUP BY ALL)""",
-    "queue_fences": "WITH " + _GS + " SELECT queue, kind, other, count(*) AS n FROM (SELECT queue, kind, lead(kind) OVER (PARTITION BY capture_id, queue ORDER BY b, e, span_id) AS other FROM gs) WHERE other IS NOT NULL GROUP BY ALL",
     "parallelism_threads": _FR
     + """, k AS (SELECT capture_id, t, sum(o) AS o, sum(x) AS x FROM (SELECT capture_id, begin_cycle AS t, CAST(frame_type = 0 AS INT) AS o, CAST(frame_type <> 0 AS INT) AS x FROM fr WHERE ms IS NOT NULL
   UNION ALL SELECT capture_id, end_cycle, -CAST(frame_type = 0 AS INT), -CAST(frame_type <> 0 AS INT) FROM fr WHERE ms IS NOT NULL) GROUP BY ALL),
