@@ -236,14 +236,6 @@ def scope_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("calls").alias("calls"))
 
 
-def pattern_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per pattern and capture: the largest matching node of each frame, summed over the frames."""
-    rows = _nodes(spark, sf_dir).where("inclusive is not null and name is not null")
-    matched = F.explode(F.filter(F.array(*[F.when(contains_any(F.col("name"), words), F.lit(p)) for p, words in PATTERNS.items()]), lambda x: x.isNotNull()))
-    most = rows.select("capture_id", "frame_id", "inclusive", matched.alias("pattern")).groupBy("capture_id", "frame_id", "pattern").agg(F.max("inclusive").alias("cycles"))
-    return most.groupBy("capture_id", "pattern").agg(F.count(F.lit(1)).alias("frames"), F.sum("cycles").alias("cycles"))
-
-
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per capture the first three timers that take a quarter or more of the span of its kept frames and that do not read as parallel.
 
@@ -399,15 +391,6 @@ def parallelism_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("ceiling", F.round(speedup_ceiling(share, F.lit(4)), 6))
 
 
-def module_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modules by the second camel-case word of a timer's name: per capture the presence, the timers and the largest one."""
-    rows = _nodes(spark, sf_dir).where("inclusive is not null and name is not null").withColumn("module", F.regexp_extract("name", "^[A-Z][a-z]+([A-Z][a-z]+)", 1)).where("module <> ''")
-    most = rows.groupBy("capture_id", "frame_id", "module").agg(F.max("inclusive").alias("cycles")).groupBy("capture_id", "module").agg(F.count(F.lit(1)).alias("frames"), F.sum("cycles").alias("presence"))
-    owned = rows.groupBy("capture_id", "module", "name").agg(F.sum("inclusive").alias("owned"))
-    big = owned.groupBy("capture_id", "module").agg(F.count(F.lit(1)).alias("timers"), F.min_by("name", F.struct(-F.col("owned"), "name")).alias("biggest"))
-    return most.join(big, ["capture_id", "module"])
-
-
 def label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts that label a data set: rows and keys of each table."""
     made = None
@@ -460,8 +443,8 @@ QUERIES = {
     for f in (
         frame_distribution, frame_histogram, busiest_series, over_budget_frames, verdict_counts, frame_numbering, warm_up, display_cap, series_stats, run_spread,
         queue_totals, queue_frame_placement, gpu_frames_usable, queue_passes, clock_scale, partner_frames, bottleneck_verdicts,
-        call_tree, frame_self_time, top_self_nodes, frame_work_topn, scope_kinds, pattern_presence, candidates, dimension_misses,
-        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path, queue_lag, parallelism_threads, module_rollup, label_facts,
+        call_tree, frame_self_time, top_self_nodes, frame_work_topn, scope_kinds, candidates, dimension_misses,
+        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path, queue_lag, parallelism_threads, label_facts,
     )
 }
 
@@ -524,11 +507,6 @@ SELECT capture_id, path, level, count(*) AS nodes, sum(calls) AS calls, sum(incl
 cy AS (SELECT frame_id, spec, sum(inclusive) AS cycles FROM nd WHERE spec IS NOT NULL AND frame_id IN (SELECT frame_id FROM kp) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY cycles DESC, spec) AS place FROM cy WHERE cycles IS NOT NULL) WHERE place <= 6""",
     "scope_kinds": "WITH " + _N + " SELECT CASE WHEN contains(lower(name), 'wait') THEN 'wait' WHEN regexp_matches(name, '(Lock|Locks|Locked|Unlock|Mutex|Critical|Semaphore)([^a-z]|$)') THEN 'lock' ELSE 'work' END AS kind, count(*) AS n, sum(calls) AS calls FROM nd GROUP BY ALL",
-    "pattern_presence": "WITH "
-    + _N
-    + ", mt AS ("
-    + " UNION ALL ".join(f"SELECT capture_id, frame_id, '{p}' AS pattern, max(inclusive) AS cycles FROM nd WHERE inclusive IS NOT NULL AND {_WORDS('name', w)} GROUP BY ALL" for p, w in PATTERNS.items())
-    + ") SELECT capture_id, pattern, count(*) AS frames, sum(cycles) AS cycles FROM mt GROUP BY ALL",
     "candidates": _FR
     + ", "
     + _N
@@ -562,12 +540,6 @@ SELECT *, round(lag_us / nullif(submits - unplaced, 0), 3) AS mean_us FROM (SELE
 q AS (SELECT capture_id, t, lead(t) OVER w AS u, sum(o) OVER w AS o, sum(x) OVER w AS x FROM k WINDOW w AS (PARTITION BY capture_id ORDER BY t)),
 g AS (SELECT capture_id, sum(CASE WHEN o > 0 AND x = 0 THEN u - t ELSE 0 END) AS solo, sum(CASE WHEN o > 0 AND x > 0 THEN u - t ELSE 0 END) AS shared, max(o + x) AS peak FROM q WHERE u IS NOT NULL GROUP BY ALL)
 SELECT *, round(CASE WHEN solo <= 0 THEN 1.0 ELSE 1.0::DOUBLE / ((1 - solo / nullif(solo + shared, 0)) + solo / nullif(solo + shared, 0) / 4) END, 6) AS ceiling FROM g""",
-    "module_rollup": "WITH "
-    + _N
-    + """, md AS (SELECT *, regexp_extract(name, '^[A-Z][a-z]+([A-Z][a-z]+)', 1) AS module FROM nd WHERE inclusive IS NOT NULL AND name IS NOT NULL),
-pr AS (SELECT capture_id, module, count(*) AS frames, sum(c) AS presence FROM (SELECT capture_id, frame_id, module, max(inclusive) AS c FROM md WHERE module <> '' GROUP BY ALL) GROUP BY ALL),
-ow AS (SELECT capture_id, module, name, sum(inclusive) AS owned FROM md WHERE module <> '' GROUP BY ALL)
-SELECT pr.*, timers, biggest FROM pr JOIN (SELECT capture_id, module, count(*) AS timers, arg_min(name, (-owned, name)) AS biggest FROM ow GROUP BY ALL) USING (capture_id, module)""",
     "label_facts": " UNION ALL ".join(
         f"SELECT '{t}' AS source_table, count(*) AS n, count(DISTINCT {k}) AS keys, count(DISTINCT capture_id) AS captures FROM {t}"
         for t, k in (("captures", "capture_id"), ("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id"))

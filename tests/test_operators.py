@@ -205,11 +205,31 @@ def test_two_thousand_tasks_in_line(spark):
     assert (last.total, last.parent, last.steps) == (2000, 1998, 2000)
 
 
+def one_flag(spark):
+    return spark.range(1).select(scalars.flag_names(F.lit(0))).first()[0]
+
+
+def test_paths_say_whose_they_are(spark):
+    paths = {
+        r"D:\b\Engine\Source\Runtime\Core\Private\A.cpp": ("engine", "engine-source", "Runtime", "Core", "Source/Runtime/Core/Private/A.cpp", "Runtime/Core"),
+        "/x/Engine/Source/A.cpp": ("engine", "engine-source", "", "A.cpp", "Source/A.cpp", "A.cpp"),
+        "Engine/Plugins/Exp/Py/Source/PyCore/B.cpp": ("engine", "engine-plugin", "Exp", "PyCore", "Plugins/Exp/Py/Source/PyCore/B.cpp", "Exp/PyCore"),
+        r"D:\Studio\Game\Plugins\Perf\Source\PerfCore\Private\Waits.cpp": ("game", "project-plugin", "Perf", "PerfCore", "Plugins/Perf/Source/PerfCore/Private/Waits.cpp", "Perf/PerfCore"),
+        "C:/Game/Source/Mod/C.cpp": ("game", "project", "", "Mod", "Game/Source/Mod/C.cpp", "Mod"),
+        "Engine/Docs/Plugins/P/D.cpp": ("game", "project-plugin", "", "", "Plugins/P/D.cpp", "(unknown)"),
+        "odd.cpp": ("unknown", "unknown", "", "", "odd.cpp", "(unknown)"),
+        "C:/": (None,) * 6,
+    }
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(paths)] + [(None, 99)], "path string, n int")
+    got = {r.path: (r.side, r.kind, r.group, r.module, r.relative, r.label) for r in scalars.located(df, "path").collect()}
+    assert got == {**paths, None: (None,) * 6}
+
+
 def test_scalar_rules(spark):
     row = lambda c, v: spark.createDataFrame([(v,)], "x string").select(c(F.col("x"))).first()[0]
     assert [row(scalars.scope_kind, n) for n in ("WaitForTasks", "Deadlock", "TryLock", "Locksmith", "FMutexLocked")] == ["wait", "work", "lock", "work", "lock"]
     assert [row(scalars.role, n) for n in ("GameThread", "RenderThread 1", "RHIThread", "Worker")] == ["game", "render", "rhi", None]
-    assert row(scalars.path_segments, "D:\\a/b\\c.cpp") == ["a", "b", "c.cpp"]
+    assert row(scalars.path_segments, "D:\\a/ b /./\\c.cpp") == ["a", "b", "c.cpp"] and one_flag(spark) == "none"
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(scalars.flag_names(F.lit(5))) == "Important+NoSync" and one(scalars.execution(F.lit(0x101))) == "Game" and one(scalars.execution(F.lit(7))) == "thread 7"
     assert one(F.array(*scalars.queue_parts(F.lit(0x030201)))) == [2, 3, 1]
