@@ -58,11 +58,11 @@ def sweep(df: DataFrame, by: Sequence[str], b: str = "b", e: str = "e") -> DataF
     )
 
 
-def difference(own: DataFrame, others: DataFrame, by: Sequence[str], b: str = "b", e: str = "e") -> DataFrame:
+def difference(own: DataFrame, others: DataFrame, by: Sequence[str], b: str = "b", e: str = "e", hot: int = HOT) -> DataFrame:
     """The stretches of own that no interval of others covers, merged."""
     both = own.select(*by, b, e, F.lit(1).alias("_own")).unionByName(others.select(*by, b, e, F.lit(0).alias("_own")))
-    parts = segments(both, by, {"own": F.col("_own"), "other": 1 - F.col("_own")}, b, e).where("own > 0 and other = 0")
-    return merged(parts.select(*by, F.col("t").alias(b), F.col("until").alias(e)), by, b, e)
+    parts = segments(both, by, {"own": F.col("_own"), "other": 1 - F.col("_own")}, b, e, hot).where("own > 0 and other = 0")
+    return merged(parts.select(*by, F.col("t").alias(b), F.col("until").alias(e)), by, b, e, hot)
 
 
 FACTOR = 3  # each level's buckets are 2^FACTOR times as wide as those of the level below
