@@ -23,26 +23,48 @@ def self_times(nodes: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame) -> DataFrame:
     """nodes with level (1 for roots) and path, the specs from the root on; a missing spec is SPECLESS.
 
-    One join per level, as deep as the deepest tree; a node whose parent is not in its frame is a root.
+    A node whose parent is not in its frame is a root. Pointers are doubled: each round joins the path of a node to that of
+    the ancestor it has come to, so trees of depth n take log n rounds. What no round brings to a root hangs below a ring of
+    parents: its level and path are null (unrooted() counts it).
     """
     spec = F.coalesce("spec", F.lit(SPECLESS)).cast("string")
-    rows = nodes.withColumn("_spec", spec)
-    known = nodes.select(F.col("frame_id"), F.col("node_id").alias("parent_node_id"), F.lit(True).alias("_there"))
-    rows = rows.join(known, ["frame_id", "parent_node_id"], "left")
-    level = cut_lineage(rows.where("_there is null").withColumn("level", F.lit(1)).withColumn("path", F.col("_spec")).drop("_there"))
-    children = rows.where("_there").drop("_there")
-    found, depth = level, 1
-    while True:
-        above = level.select("frame_id", F.col("node_id").alias("parent_node_id"), F.col("path").alias("_above"))
-        depth += 1
-        level = children.join(above, ["frame_id", "parent_node_id"]).withColumn("level", F.lit(depth)).withColumn("path", F.concat("_above", F.lit(">"), "_spec")).drop("_above")
-        level = cut_lineage(level.select(*found.columns))
-        if level.isEmpty():
-            return found.drop("_spec")
-        found = found.unionByName(level)
+    made = cut_lineage(nodes.select("*", F.col("parent_node_id").alias("_up"), spec.alias("path"), F.lit(1).alias("level")))
+    open_, was = made.where("_up is not null").count(), None
+    while open_ and open_ != was:
+        far = made.select("frame_id", F.col("node_id").alias("_up"), F.struct(F.col("_up").alias("up"), "path", "level").alias("_far"))
+        met = made.where("_up is not null").join(far, ["frame_id", "_up"], "left")
+        there = F.col("_far").isNotNull()
+        joined = met.withColumn("path", F.when(there, F.concat("_far.path", F.lit(">"), "path")).otherwise(F.col("path"))).withColumn("level", F.when(there, F.col("level") + F.col("_far.level")).otherwise(F.col("level"))).withColumn("_up", F.col("_far.up"))
+        made = cut_lineage(made.where("_up is null").unionByName(joined.select(*made.columns)))
+        open_, was = made.where("_up is not null").count(), open_
+    rooted = F.col("_up").isNull()
+    return made.withColumn("path", F.when(rooted, F.col("path"))).withColumn("level", F.when(rooted, F.col("level"))).drop("_up")
+
+
+def unrooted(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by..., nodes: how many nodes of paths() hang below a ring of parents."""
+    return rows.where("level is null").groupBy(*by).agg(F.count(F.lit(1)).alias("nodes"))
 
 
 def rollup(nodes: DataFrame, by: list[str]) -> DataFrame:
-    """by..., path, level, nodes, calls, inclusive, self: siblings of one spec merge along their path."""
-    rows = paths(self_times(nodes))
+    """by..., path, level, nodes, calls, inclusive, self: siblings of one spec merge along their path.
+
+    Nodes below a ring of parents come in one row of each group whose path is null.
+    """
+    rows = paths(self_times(nodes).select(*by, *[c for c in ("frame_id", "node_id", "parent_node_id", "spec", "calls", "inclusive", "self") if c not in by]))
     return rows.groupBy(*by, "path", "level").agg(F.count(F.lit(1)).alias("nodes"), F.sum("calls").alias("calls"), F.sum("inclusive").alias("inclusive"), F.sum("self").alias("self"))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """frame_id, tree: the nodes of paths() as one text a frame, in order of their paths: level, spec, inclusive and calls.
+
+    self is not packed: load() makes it again from the inclusive times.
+    """
+    one = F.struct("path", "level", F.coalesce("spec", F.lit(SPECLESS)).alias("spec"), F.col("inclusive"), F.col("calls"))
+    return rows.where("level is not null").groupBy("frame_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("tree"))
+
+
+def unpacked(trees: DataFrame) -> DataFrame:
+    """frame_id, path, level, spec, inclusive, calls of the packed trees."""
+    kind = "array<struct<path: string, level: int, spec: bigint, inclusive: bigint, calls: bigint>>"
+    return trees.select("frame_id", F.explode(F.from_json("tree", kind)).alias("_n")).select("frame_id", "_n.*")

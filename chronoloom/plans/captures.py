@@ -12,7 +12,7 @@ from chronoloom.operators.dist import busiest, distribution, histogram, millisec
 from chronoloom.operators.graph import longest_chains
 from chronoloom.operators.intervals import overlap_join, segments, union_length
 from chronoloom.operators.records import latest_delivery
-from chronoloom.session import table
+from chronoloom.session import cut_lineage, table
 
 BUDGET = 1000.0 / 60.0
 OUTLIERS = 40
@@ -140,7 +140,11 @@ def queue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queue_frame_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GPU work inside each frame of the game thread (type 0), summed over the queues; and spans that landed there."""
-    windows = frame_windows(spark, sf_dir).where("frame_type = 0").select("capture_id", "frame_id", "b", "e")
+    return _gpu_in(spark, sf_dir, closed_frames(spark, sf_dir))
+
+
+def _gpu_in(spark: SparkSession, sf_dir: str, closed: DataFrame) -> DataFrame:
+    windows = closed.where("frame_type = 0").select("capture_id", "frame_id", _micro("begin_cycle").alias("b"), _micro("end_cycle").alias("e"))
     work = _gpu(spark, sf_dir).where("kind = 'work'").select("capture_id", "span_id", "b", "e")
     pairs = overlap_join(work, windows, ["capture_id"])
     return pairs.groupBy("capture_id", "frame_id").agg(F.count(F.lit(1)).alias("pieces"), F.countDistinct("span_id").alias("spans"), F.sum(F.least("e", "r_e") - F.greatest("b", "r_b")).alias("gpu_us"))
@@ -172,7 +176,16 @@ def clock_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def partner_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each game-thread frame the overlapping frame of another thread that worked most; the first of equals."""
-    rows = frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_id", "tid", "frame_type", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"), F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e"))
+    return _partners(closed_frames(spark, sf_dir))
+
+
+def closed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed frames with their clock, written once for all that reads them."""
+    return cut_lineage(frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_id", "tid", "frame_type", "begin_cycle", "end_cycle", "covered_cycles", "wait_cycles", "cycle_frequency", "ms"))
+
+
+def _partners(closed: DataFrame) -> DataFrame:
+    rows = closed.select("capture_id", "frame_id", "tid", "frame_type", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"), F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e"))
     own = rows.where("frame_type = 0").select("capture_id", "frame_id", F.col("tid").alias("own_tid"), "b", "e")
     other = rows.select("capture_id", F.col("frame_id").alias("partner"), "tid", "work", "b", "e")
     pairs = overlap_join(own, other, ["capture_id"]).where("tid <> own_tid")
@@ -182,9 +195,10 @@ def partner_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bottleneck_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """within, or what a game-thread frame over budget was bound by: own work, a partner's work, GPU work, else unexplained."""
-    own = frames(spark, sf_dir).where("ms is not null and frame_type = 0").select("capture_id", "frame_id", "ms", "cycle_frequency", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"))
-    partners = partner_frames(spark, sf_dir).select("frame_id", "partner_work")
-    gpu = queue_frame_placement(spark, sf_dir).select("frame_id", "gpu_us")
+    closed = closed_frames(spark, sf_dir)
+    own = closed.where("frame_type = 0").select("capture_id", "frame_id", "ms", "cycle_frequency", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"))
+    partners = _partners(closed).select("frame_id", "partner_work")
+    gpu = _gpu_in(spark, sf_dir, closed).select("frame_id", "gpu_us")
     rows = own.join(partners, "frame_id", "left").join(gpu, "frame_id", "left")
     in_ms = lambda c: F.col(c) * F.lit(1000.0) / F.col("cycle_frequency")
     verdict = (

@@ -138,6 +138,20 @@ def test_call_tree_self_times(spark):
     assert {(r.frame_id, r.path): (r.nodes, r.calls, r.inclusive) for r in calltree.rollup(df, ["frame_id"]).collect()} == {(1, "9"): (1, 1, 100), (1, "9>8"): (2, 3, 50), (1, "9>8>-1"): (1, 1, 40), (1, "9>7"): (1, 1, None), (2, "9"): (1, 1, 7)}
 
 
+def test_nodes_below_a_ring_are_kept_and_counted(spark):
+    rows = [(1, 1, None, 9, 10, 1), (1, 2, 1, 8, 5, 1), (1, 3, 4, 7, 3, 1), (1, 4, 3, 6, 2, 1), (1, 5, 4, 5, 1, 1), (2, 7, 99, 4, 8, 1)]
+    rows += [(3, i, i - 1 or None, i, 100 - i, 1) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "frame_id long, node_id long, parent_node_id long, spec long, inclusive long, calls long")
+    found = calltree.paths(df)
+    got = {(r.frame_id, r.node_id): (r.level, r.path) for r in found.collect()}
+    assert got[1, 2] == (2, "9>8") and got[2, 7] == (1, "4") and got[1, 3] == got[1, 4] == got[1, 5] == (None, None)
+    assert got[3, 39] == (39, ">".join(map(str, range(1, 40)))) and len(got) == len(rows)
+    assert [tuple(r) for r in calltree.unrooted(found, ["frame_id"]).collect()] == [(1, 3)]
+    assert {(r.frame_id, r.path): r.nodes for r in calltree.rollup(df, ["frame_id"]).where("frame_id = 1").collect()} == {(1, "9"): 1, (1, "9>8"): 1, (1, None): 3}
+    again = calltree.unpacked(calltree.packed(found)).collect()
+    assert {(r.frame_id, r.path, r.spec, r.inclusive) for r in again} == {(r.frame_id, r.path, r.spec, r.inclusive) for r in found.where("level is not null").collect()}
+
+
 def test_longest_chain(spark):
     tasks = spark.createDataFrame([(1, 5), (2, 5), (3, 2), (4, None), (5, 9), (6, 1)], "id long, duration long")
     edges = spark.createDataFrame([(1, 3), (2, 3), (3, 4), (4, 5), (3, 6), (6, 6), (99, 6)], "pred long, succ long")
