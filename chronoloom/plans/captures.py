@@ -16,7 +16,6 @@ from chronoloom.session import cut_lineage, table
 
 BUDGET = 1000.0 / 60.0
 OUTLIERS = 40
-THRESHOLD = 0.05
 # fixed values: fragments of timer names that tell of known patterns, and of work that is parallel already
 PATTERNS = {
     "tick": ("tick",),
@@ -334,46 +333,6 @@ def channel_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("capture_id", "channel", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "ready").otherwise("missing").alias("state"))
 
 
-def metric_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """capture_id, key, unit, lower_is_better, value: one row per metric; null where it was not measured."""
-    rows = captures(spark, sf_dir)
-    share = F.round(F.col("over_budget") / F.nullif("frame_count", F.lit(0)), 6)
-    metrics = [("frames.p50_ms", "ms", True, F.col("p50_ms")), ("frames.p95_ms", "ms", True, F.col("p95_ms")), ("frames.p99_ms", "ms", True, F.col("p99_ms")), ("frames.over_share", "share", True, share), ("frames.count", "count", False, F.col("frame_count").cast("double"))]
-    packed = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(u).alias("unit"), F.lit(b).alias("lower_is_better"), v.cast("double").alias("value")) for k, u, b, v in metrics])
-    return rows.select("capture_id", F.explode(packed).alias("_m")).select("capture_id", "_m.*")
-
-
-def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each app's first capture against its last, metric by metric: delta, direction and whether it breaks the gate."""
-    order = F.struct("started_at", "capture_id")
-    ends = captures(spark, sf_dir).groupBy("app").agg(F.min_by("capture_id", order).alias("before_id"), F.max_by("capture_id", order).alias("after_id"))
-    metrics = metric_vector(spark, sf_dir)
-    before = ends.select("app", F.col("before_id").alias("capture_id")).join(metrics, "capture_id").select("app", "key", "lower_is_better", F.col("value").alias("before"))
-    after = ends.select("app", F.col("after_id").alias("capture_id")).join(metrics, "capture_id").select("app", "key", F.col("value").alias("after"))
-    joined = before.join(after, ["app", "key"], "full")
-    ratio = F.round((F.col("after") - F.col("before")) / F.nullif("before", F.lit(0.0)), 6)
-    worse = F.when(F.col("lower_is_better"), F.col("ratio")).otherwise(-F.col("ratio"))
-    verdict = F.when(F.col("ratio").isNull(), "unknown").when(worse > THRESHOLD, "worse").when(worse < -THRESHOLD, "better").otherwise("same")
-    return joined.withColumn("ratio", ratio).withColumn("verdict", verdict).select("app", "key", "before", "after", "ratio", "verdict")
-
-
-def advice_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """capture_id, rule, severity, evidence: the rules that fire on a capture's reported distribution."""
-    rows = captures(spark, sf_dir)
-    share = F.col("over_budget") / F.nullif("frame_count", F.lit(0))
-    rules = [
-        ("no-frequency", "high", F.coalesce(F.col("cycle_frequency"), F.lit(0)) <= 0, F.lit(0.0)),
-        ("no-frames", "high", F.coalesce(F.col("frame_count"), F.lit(0)) == 0, F.lit(0.0)),
-        ("over-budget", None, share >= 0.05, share),
-        ("tail-vs-mean", "medium", (F.col("over_budget") > 0) & (F.col("p50_ms") > 0) & (F.col("p99_ms") >= 2 * F.col("p50_ms")), F.col("p99_ms") / F.col("p50_ms")),
-        ("hitches", "medium", F.col("hitches") >= 1, F.col("hitches").cast("double")),
-        ("thin-sample", "low", F.col("frame_count") < 100, F.col("frame_count").cast("double")),
-    ]
-    grade = lambda s: F.lit(s) if s else F.when(share > 0.5, "high").otherwise("medium")
-    packed = F.array(*[F.when(fires, F.struct(F.lit(r).alias("rule"), grade(s).alias("severity"), F.round(e, 6).alias("evidence"))) for r, s, fires, e in rules])
-    return rows.select("capture_id", F.explode(F.filter(packed, lambda x: x.isNotNull())).alias("_f")).select("capture_id", "_f.*")
-
-
 def critical_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The longest chain of lines of each order, each line following the one before it; quantity is the duration."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("duration"))
@@ -458,7 +417,7 @@ QUERIES = {
         frame_distribution, frame_histogram, busiest_series, over_budget_frames, verdict_counts, frame_numbering, warm_up, display_cap, series_stats, run_spread,
         queue_totals, queue_frame_placement, gpu_frames_usable, queue_passes, clock_scale, partner_frames, bottleneck_verdicts,
         call_tree, frame_self_time, top_self_nodes, frame_work_topn, scope_kinds, candidates, dimension_misses,
-        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, metric_vector, ab_compare, advice_findings, critical_path, queue_lag, parallelism_threads, label_facts,
+        dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, critical_path, queue_lag, parallelism_threads, label_facts,
     )
 }
 
@@ -559,23 +518,6 @@ SELECT *, round(CASE WHEN solo <= 0 THEN 1.0 ELSE 1.0::DOUBLE / ((1 - solo / nul
         for t, k in (("captures", "capture_id"), ("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id"))
     ),
 }
-_METRICS = """m AS (SELECT capture_id, unnest(['frames.p50_ms', 'frames.p95_ms', 'frames.p99_ms', 'frames.over_share', 'frames.count']) AS key, unnest(['ms', 'ms', 'ms', 'share', 'count']) AS unit,
-  unnest([true, true, true, true, false]) AS lower_is_better, unnest([p50_ms, p95_ms, p99_ms, round(over_budget / nullif(frame_count, 0), 6), CAST(frame_count AS DOUBLE)]) AS value FROM c)"""
 ORACLES |= {
-    "metric_vector": _C + ", " + _METRICS + " SELECT * FROM m",
-    "ab_compare": _C
-    + ", "
-    + _METRICS
-    + f""", e AS (SELECT app, arg_min(capture_id, (started_at, capture_id)) AS a, arg_max(capture_id, (started_at, capture_id)) AS b FROM c GROUP BY app),
-j AS (SELECT e.app, x.key, x.lower_is_better AS low, x.value AS before, y.value AS after, round((y.value - x.value) / nullif(x.value, 0), 6) AS ratio FROM e JOIN m x ON x.capture_id = e.a JOIN m y ON y.capture_id = e.b AND y.key = x.key)
-SELECT app, key, before, after, ratio, CASE WHEN ratio IS NULL THEN 'unknown' WHEN CASE WHEN low THEN ratio ELSE -ratio END > {THRESHOLD} THEN 'worse' WHEN CASE WHEN low THEN ratio ELSE -ratio END < -{THRESHOLD} THEN 'better' ELSE 'same' END AS verdict FROM j""",
-    "advice_findings": _C
-    + """, s AS (SELECT *, over_budget / nullif(frame_count, 0) AS share FROM c)
-SELECT capture_id, 'no-frequency' AS rule, 'high' AS severity, 0.0::DOUBLE AS evidence FROM s WHERE coalesce(f, 0) <= 0
-UNION ALL SELECT capture_id, 'no-frames', 'high', 0.0 FROM s WHERE coalesce(frame_count, 0) = 0
-UNION ALL SELECT capture_id, 'over-budget', CASE WHEN share > 0.5 THEN 'high' ELSE 'medium' END, round(share, 6) FROM s WHERE share >= 0.05
-UNION ALL SELECT capture_id, 'tail-vs-mean', 'medium', round(p99_ms / p50_ms, 6) FROM s WHERE over_budget > 0 AND p50_ms > 0 AND p99_ms >= 2 * p50_ms
-UNION ALL SELECT capture_id, 'hitches', 'medium', hitches FROM s WHERE hitches >= 1
-UNION ALL SELECT capture_id, 'thin-sample', 'low', frame_count FROM s WHERE frame_count < 100""",
     "critical_path": "WITH l AS (SELECT l_orderkey, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY ALL), r AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS g FROM l), s AS (SELECT l_orderkey, g, sum(q) AS total, count(*) AS steps, max(l_linenumber) AS last FROM r GROUP BY ALL) SELECT l_orderkey AS order_id, max(total) AS total, arg_max(steps, (total, -last)) AS steps FROM s GROUP BY l_orderkey",
 }
