@@ -122,8 +122,8 @@ def test_renderers(spark, tmp_path):
     df = spark.createDataFrame([("a|b", 1.5, None), ("c", 20.0, 3)], "name string, x double, n long")
     assert render.rows_as(df, "csv") == "name,x,n\na|b,1.5,-\nc,20,3\n"
     assert "a\\|b" in render.rows_as(df, "markdown") and render.rows_as(df).splitlines()[1].startswith("a|b")
-    assert render.graph_as([(1, "A"), (2, 'B"')], [(1, 2), (1, 2)]) == 'digraph tasks {\n  t1 [label="A"];\n  t2 [label="B\'"];\n  t1 -> t2;\n}\n'
-    assert render.graph_as([(1, "A")], [], "mermaid").startswith("graph LR") and '"edges": []' in render.graph_as([(1, "A")], [], "json")
+    assert render.graph_as([(1, "A"), (2, 'B"')], [(1, 2), (1, 2)]) == 'digraph {\n  rankdir=LR\n  n0 [label="A"]\n  n1 [label="B\\""]\n  n0 -> n1\n}\n'
+    assert render.graph_as([(1, "A")], [], "mermaid").startswith("flowchart LR") and '"edges": []' in render.graph_as([(1, "A")], [], "json")
     path = str(tmp_path / "b.json")
     render.write_baseline(spark.createDataFrame([("p50", 1.0), ("gone", None)], "key string, value double"), path)
     assert render.read_baseline(path) == {"gone": None, "p50": 1.0}
@@ -132,4 +132,11 @@ def test_renderers(spark, tmp_path):
     out = str(tmp_path / "f.csv")
     render.write_frame_csv(values, events, [0, 1, 2], out, {"platform": "x,y"})
     assert open(out).read().splitlines() == ["EVENTS,A,B.b", ",0,1", "load.x,0.050000,0", ",0,0", "[platform],x.y"]
+    stamped = spark.createDataFrame([(1, "load;x", 2.5), (1, "a", 0.25)], "frame long, name string, seconds double")
+    render.write_frame_csv(values, stamped, spark.range(1, 2).withColumnRenamed("id", "frame"), out, {})
+    assert open(out).read().splitlines()[1] == "a##0.250000;load.x##2.500000,0.050000,0"
+    found = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (3, 1, "c")], "capture_id long, place int, rule string")
+    assert '"rule": "a"' in render.advice_json(found, 1, {"budget": 60}) and '"c"' not in render.advice_json(found, 1, {})
+    compared = spark.createDataFrame([("x", "k1", 1.0, 2.0, "worse"), ("x", "k0", 1.0, 1.0, "same")], "app string, key string, before double, after double, verdict string")
+    assert '"passed": false' in render.comparison_as(compared, "x") and render.comparison_as(compared, "x", "markdown").splitlines()[2].startswith("| k1")
     assert F is not None
