@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LOCK_WORDS = ("Lock", "Locks", "Locked", "Unlock", "Mutex", "Critical", "Semaphore")
 ROLES = (("gamethread", "game"), ("renderthread", "render"), ("rhi", "rhi"))
 EXECUTION = {0: "RHI", 1: "Game", 2: "Render", 255: "any"}
+LOCAL_QUEUE, TASK_PRIORITY, THREAD_PRIORITY, THREAD_HIGH, THREAD_BACKGROUND = 0x100, 0x200, 0xC00, 0x400, 0x800
 EVENT_FLAGS = ("Important", "MaybeHasAux", "NoSync", "Definition")
 CAP_PERIODS = (1 / 60, 1 / 30, 1 / 120, 1 / 90)
 CAP_TOLERANCE = 0.05
@@ -42,6 +43,13 @@ def execution(code: Column) -> Column:
     return found
 
 
+def execution_parts(code: Column) -> Column:
+    """What a packed thread code says: the thread, local (whether it has a queue of its own), urgent (the task's priority) and the thread's priority."""
+    priority = F.when(code.bitwiseAND(F.lit(THREAD_PRIORITY)) == THREAD_HIGH, "high").when(code.bitwiseAND(F.lit(THREAD_PRIORITY)) == THREAD_BACKGROUND, "background").otherwise("normal")
+    set_ = lambda bit: code.bitwiseAND(F.lit(bit)) != 0
+    return F.struct(execution(code).alias("thread"), set_(LOCAL_QUEUE).alias("local"), set_(TASK_PRIORITY).alias("urgent"), priority.alias("priority"))
+
+
 def queue_parts(code: Column) -> tuple[Column, Column, Column]:
     """gpu, index and type of a packed queue id."""
     return F.shiftright(code, 8).bitwiseAND(F.lit(255)), F.shiftright(code, 16).bitwiseAND(F.lit(255)), code.bitwiseAND(F.lit(255))

@@ -3,13 +3,17 @@
     spark.dataSource.register(CaptureSource)
     spark.read.format("capture").option("table", "records").load(path)
 
-Tables: packets, types, events, records (CPU begin and end records), anomalies. Each thread is one input partition, as
-order within a thread is meaning; a task walks the packet headers and decodes its own thread only. What cannot be
-decoded is a row of anomalies and stops its thread there, nothing is guessed.
+Tables: info, packets, types, events, records (CPU begin and end records), gpu_records (of the older GPU channel) and
+anomalies; every row has the path of its file. A file is `splits` input partitions (an option, 8 where not given), each
+with the threads whose number falls to it, as order within a thread is meaning. The driver opens no file: a task walks the
+packet headers through a memory map and touches the packets of its own threads only. What cannot be decoded is a row of
+anomalies and stops its thread there, nothing is guessed.
 """
 
 from __future__ import annotations
 
+import mmap
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,12 +29,19 @@ AUX, AUX_END, SCOPE_ENTER, SCOPE_LEAVE, LAST_TIMED_SCOPE, FIRST_USER = 1, 3, 4,
 IMPORTANT, HAS_AUX, NO_SYNC = 1, 2, 4
 FLOAT, ARRAY, STRING, SIGNED, SIZE = 0x40, 0x80, 0x08, 0x10, 0x03
 
+PORT, SESSION, TRACE = 0, 1, 2  # fields of the header
+#: Kinds of anomalies that do not mean that something could not be read.
+WARNINGS = ("old-magic", "redefined")
+SPLITS = 8
+
 TABLES = {
-    "packets": "index long, offset long, size int, tid int, form string, decoded_size int",
-    "types": "uid int, flags int, logger string, name string, full_name string, size int, fields array<struct<index int, name string, family int, offset int, size int, type_byte int, type_name string>>",
-    "events": "tid int, seq long, serial int, uid int, logger string, name string, whole map<string,bigint>, real map<string,double>, text map<string,string>, bytes map<string,binary>",
-    "records": "tid int, seq long, cycle long, spec long, d int",
-    "anomalies": "tid int, kind string, offset long, message string",
+    "info": "path string, magic string, size long, transport int, protocol int, port int, session string, trace string, packets long, threads int, lz4 long, raw long, verified long, sync long, payload long",
+    "gpu_records": "path string, tid int, frame long, number long, base_us long, ord long, t long, spec long, d int, truncated boolean",
+    "packets": "path string, index long, offset long, size int, tid int, form string, decoded_size int",
+    "types": "path string, uid int, flags int, logger string, name string, full_name string, size int, fields array<struct<index int, name string, family int, offset int, size int, type_byte int, type_name string>>",
+    "events": "path string, tid int, seq long, serial int, uid int, logger string, name string, whole map<string,bigint>, real map<string,double>, text map<string,string>, bytes map<string,binary>",
+    "records": "path string, tid int, seq long, cycle long, spec long, d int",
+    "anomalies": "path string, tid int, kind string, offset long, message string",
 }
 
 
@@ -55,13 +66,13 @@ class EventType:
 class Capture:
     """A file's bytes with the places of its packets."""
 
-    data: bytes
+    data: bytes | mmap.mmap
     at: int = 0
     packets: list[tuple[int, int, int, str, int]] = field(default_factory=list)  # offset, size, tid, form, decoded size
     anomalies: list[tuple[int, str, int, str]] = field(default_factory=list)
 
     @staticmethod
-    def open(data: bytes) -> Capture:
+    def open(data: bytes | mmap.mmap) -> Capture:
         if len(data) < 12:
             raise CaptureError("the file is too short for a capture")
         magic = data[:4]
@@ -83,6 +94,14 @@ class Capture:
             at += 2 + (head & 255)
         return out
 
+    def info(self) -> tuple:
+        """One row of info, without the path."""
+        held, forms = self.metadata(), [form for _, _, _, form, _ in self.packets]
+        port = held.get(PORT, b"")
+        guid = lambda at: held[at].hex() if at in held else None
+        counts = [forms.count(f) for f in ("lz4", "raw", "verify", "sync")]
+        return (self.data[:4].decode("ascii"), len(self.data), *self.versions(), struct.unpack("<H", port)[0] if len(port) == 2 else None, guid(SESSION), guid(TRACE), len(forms), len(self.threads()), *counts, sum(p[1] for p in self.packets))
+
     def versions(self) -> tuple[int, int]:
         """Transport and protocol."""
         return self.data[self.at - 2], self.data[self.at - 1]
@@ -349,51 +368,107 @@ def records(capture: Capture, tid: int, types: dict[int, EventType]) -> Iterator
             last = cycle
 
 
+def gpu_frame(blob: bytes, base_us: int) -> tuple[list[tuple[int, int | None, int]], bool]:
+    """(time in microseconds, spec, d) of each record of a frame of the older GPU channel, and whether it is cut."""
+    out, at, t = [], 0, base_us
+    while at < len(blob):
+        try:
+            head, at = varint(blob, at)
+        except ValueError:
+            return out, True
+        t += head >> 1
+        spec = None
+        if head & 1:
+            if at + 4 > len(blob):
+                return out, True
+            spec, at = struct.unpack_from("<I", blob, at)[0], at + 4
+        out.append((t, spec, 1 if head & 1 else -1))
+    return out, False
+
+
+def gpu_records(capture: Capture, tid: int, types: dict[int, EventType]) -> Iterator[tuple]:
+    """tid, frame, number, base_us, ord, t, spec, d, truncated: a frame without records has one row with null d."""
+    frame = 0
+    for _, _, kind, (whole, _, _, raw) in events(capture, tid, types):
+        if kind.logger != "GpuProfiler" or kind.name != "Frame":
+            continue
+        if "Data" not in raw:
+            capture.anomalies.append((tid, "batch", frame, "a frame carries no data"))
+            continue
+        base, number = whole.get("TimestampBase", 0), whole.get("RenderingFrameNumber", 0)
+        found, cut = gpu_frame(raw["Data"], base)
+        for ord_, (t, spec, d) in enumerate(found or [(base, None, None)]):
+            yield tid, frame, number, base, ord_, t, spec, d, cut
+        frame += 1
+
+
 @dataclass
-class _Thread(InputPartition):
+class _Part(InputPartition):
     path: str
-    tid: int
+    split: int
+    splits: int
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str], table: str) -> None:
-        self.paths, self.table = paths, table
+    def __init__(self, paths: list[str], table: str, splits: int) -> None:
+        self.paths, self.table, self.splits = paths, table, splits
 
-    def partitions(self) -> list[_Thread]:
-        if self.table in ("packets", "types"):
-            return [_Thread(p, -1) for p in self.paths]
-        return [_Thread(p, tid) for p in self.paths for tid in (-1, *Capture.open(_read(p)).threads())]
+    def partitions(self) -> list[_Part]:
+        splits = 1 if self.table in ("info", "packets", "types") else self.splits
+        return [_Part(p, i, splits) for p in self.paths for i in range(splits)]
 
-    def read(self, part: _Thread) -> Iterator[tuple]:
-        capture = Capture.open(_read(part.path))
+    def read(self, part: _Part) -> Iterator[tuple]:
+        for row in self._rows(part):
+            yield part.path, *row
+
+    def _rows(self, part: _Part) -> Iterator[tuple]:
+        capture = Capture.open(_bytes(part.path))
         if self.table == "packets":
             yield from ((i, at, size, tid, form, decoded) for i, (at, size, tid, form, decoded) in enumerate(capture.packets))
             return
+        if self.table == "info":
+            yield capture.info()
+            return
         types = capture.types()
         if self.table == "types":
             for t in types.values():
                 fields = [(i, n, f, o, s, k, type_name(k)) for i, (n, f, o, s, k) in enumerate(t.fields)]
                 yield t.uid, t.flags, t.logger, t.name, f"{t.logger}.{t.name}", t.size, fields
             return
-        if part.tid in (-1, EVENTS):
-            if self.table == "anomalies" and part.tid == -1:
-                yield from capture.anomalies
-            return
-        capture.anomalies.clear()
-        if self.table == "records":
-            yield from records(capture, part.tid, types)
-        elif self.table == "events":
-            for seq, serial, kind, (whole, real, text, raw) in events(capture, part.tid, types):
-                yield part.tid, seq, serial, kind.uid, kind.logger, kind.name, whole, real, text, raw
-        else:
-            for _ in records(capture, part.tid, types):
-                pass
+        if self.table == "anomalies" and part.split == 0:
             yield from capture.anomalies
+        capture.anomalies.clear()
+        for tid in capture.threads():
+            if tid == EVENTS or tid % part.splits != part.split:
+                continue
+            if self.table == "records":
+                yield from records(capture, tid, types)
+            elif self.table == "gpu_records":
+                yield from gpu_records(capture, tid, types)
+            elif self.table == "events":
+                for seq, serial, kind, (whole, real, text, raw) in events(capture, tid, types):
+                    yield tid, seq, serial, kind.uid, kind.logger, kind.name, whole, real, text, raw
+            else:
+                for _ in records(capture, tid, types):
+                    pass
+                yield from capture.anomalies
+                capture.anomalies.clear()
+
 
+def _bytes(path: str) -> bytes | mmap.mmap:
+    """A file's bytes: mapped where it is local, so that only what is looked at is read; else from the file system of its URI."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    if "://" in path:
+        from pyarrow import fs
 
-def _read(path: str) -> bytes:
-    with open(path.removeprefix("file://").removeprefix("file:"), "rb") as file:
-        return file.read()
+        system, place = fs.FileSystem.from_uri(path)
+        with system.open_input_file(place) as file:
+            return file.readall()
+    with open(path, "rb") as file:
+        if os.fstat(file.fileno()).st_size == 0:
+            return b""
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
 
 
 class CaptureSource(DataSource):
@@ -410,4 +485,4 @@ class CaptureSource(DataSource):
         return TABLES[table]
 
     def reader(self, schema) -> _Reader:  # noqa: ANN001
-        return _Reader([p for p in self.options["path"].split(",") if p], self.options.get("table", "events"))
+        return _Reader([p for p in self.options["path"].split(",") if p], self.options.get("table", "events"), int(self.options.get("splits", SPLITS)))

@@ -247,6 +247,9 @@ def test_scalar_rules(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(scalars.flag_names(F.lit(5))) == "Important+NoSync" and one(scalars.execution(F.lit(0x101))) == "Game" and one(scalars.execution(F.lit(7))) == "thread 7"
     assert one(F.array(*scalars.queue_parts(F.lit(0x030201)))) == [2, 3, 1]
+    assert tuple(one(scalars.execution_parts(F.lit(0x701)))) == ("Game", True, True, "high") and tuple(one(scalars.execution_parts(F.lit(0x8FF)))) == ("any", False, False, "background")
+    assert one(scalars.clean_text(F.lit("a\0 "))) == "a" and one(scalars.clean_text(F.lit("\0"))) == "-"
+    assert tuple(one(scalars.strict_cap(F.lit(2 / 30)))) == (0, 4) and one(scalars.strict_cap(F.lit(54 / 60))) is None
     assert one(scalars.at_cap(F.lit(1 / 60 + 0.0001))) and not one(scalars.at_cap(F.lit(0.0023)))
     assert math.isclose(one(scalars.speedup_ceiling(F.lit(0.5), F.lit(4))), 1.6) and one(scalars.speedup_ceiling(F.lit(0.0), F.lit(4))) == 1
     assert one(dist.milliseconds(F.lit(0), F.lit(5), F.lit(0))) is None

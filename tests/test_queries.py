@@ -5,11 +5,12 @@ import os
 import duckdb
 import pytest
 
-from chronoloom.plans import captures, problems, traces
+from chronoloom.plans import advice, captures, gpu, occupancy, problems, sources, tasks, traces
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES = {**problems.QUERIES, **captures.QUERIES, **traces.QUERIES}
-ORACLES = {**problems.ORACLES, **captures.ORACLES, **traces.ORACLES}
+MODULES = (advice, captures, gpu, occupancy, problems, sources, tasks, traces)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 
