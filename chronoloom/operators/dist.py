@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.hot import HOT, Cut
+
 HITCH = 2.0
 MOST_BINS = 16
 
@@ -34,24 +36,43 @@ def milliseconds(b: Column, e: Column, frequency: Column) -> Column:
     return (e - b) * F.lit(1000.0) / F.nullif(frequency, F.lit(0))
 
 
-def distribution(df: DataFrame, by: Sequence[str], value: str, budget: float, mean: Column | None = None) -> DataFrame:
+def nearest_ranks(df: DataFrame, by: Sequence[str], value: str, shares: Sequence[float], hot: int = HOT) -> DataFrame:
+    """by..., n, one column r0, r1 ... for each share: the value at rank ceil(share * n), exact for a group of any size.
+
+    Equal values are counted where they lie, and the counts run over the distinct values in order, in shards where a
+    group has many: no task holds a group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    running = Cut(counted, by, ["_v"], "_v", hot).running("_upto", "sum", F.col("_c")).done()
+    sizes = counted.groupBy(*by).agg(F.sum("_c").alias("n")).select(*[F.col(b).alias(f"_r{b}") for b in by], "n")
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_r{b}"))
+    joined = running.join(sizes, same)
+    ranks = [F.min(F.when(F.col("_upto") >= F.ceil(F.round(F.lit(q) * F.col("n"), 9)), F.col("_v"))).alias(f"r{i}") for i, q in enumerate(shares)]
+    return joined.groupBy(*by).agg(F.max("n").alias("n"), *ranks)
+
+
+def distribution(df: DataFrame, by: Sequence[str], value: str, budget: float, mean: Column | None = None, hot: int = HOT) -> DataFrame:
     """count, mean, min, p50, p95, p99 (nearest ranks), max, over budget and hitches; nulls are not counted.
 
     mean may give the aggregate that makes the mean, such as one over whole ticks that no order of rows can change.
     """
     x = F.col(value)
-    rank = lambda q: F.expr(f"percentile_disc({q}) within group (order by `{value}`)")
-    return df.where(x.isNotNull()).groupBy(*by).agg(
+    rows = df.where(x.isNotNull())
+    plain = rows.groupBy(*by).agg(
         F.count(x).alias("n"),
         (F.avg(x) if mean is None else mean).alias("mean"),
         F.min(x).alias("least"),
-        rank(0.5).alias("p50"),
-        rank(0.95).alias("p95"),
-        rank(0.99).alias("p99"),
         F.max(x).alias("most"),
         F.count_if(x > budget).alias("over"),
         F.count_if(x > HITCH * budget).alias("hitches"),
     )
+    ranks = nearest_ranks(rows.select(*by, value), by, value, (0.5, 0.95, 0.99), hot).select(*[F.col(b).alias(f"_r{b}") for b in by], F.col("r0").alias("p50"), F.col("r1").alias("p95"), F.col("r2").alias("p99"))
+    same = F.lit(True)
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_r{b}"))
+    return plain.join(ranks, same).drop(*[f"_r{b}" for b in by])
 
 
 def histogram(df: DataFrame, by: Sequence[str], value: str, budget: float) -> DataFrame:

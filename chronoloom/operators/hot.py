@@ -65,19 +65,19 @@ class Cut:
         if not self.shards:
             return self._with(own)
         if kind == "last":
-            ends = self.df.select(*by, _SHARD, value.alias("_v"), F.row_number().over(self._window(by)).alias("_n")).where("_v is not null").groupBy(*by, _SHARD).agg(F.max_by("_v", "_n").alias("_v"))
+            ends = self.df.select(*by, _SHARD, value.alias("_hot_v"), F.row_number().over(self._window(by)).alias("_hot_n")).where("_hot_v is not null").groupBy(*by, _SHARD).agg(F.max_by("_hot_v", "_hot_n").alias("_hot_v"))
         else:
-            ends = self.df.groupBy(*by, _SHARD).agg(fold(value).alias("_v"))
-        ends = self._every_shard(ends, by, ["_v"])
+            ends = self.df.groupBy(*by, _SHARD).agg(fold(value).alias("_hot_v"))
+        ends = self._every_shard(ends, by, ["_hot_v"])
         before = Window.partitionBy(*by).orderBy(_SHARD).rowsBetween(Window.unboundedPreceding, -1)
-        joined = self._joined(own, ends.withColumn("_v", fold(F.col("_v")).over(before)), by)
+        joined = self._joined(own, ends.withColumn("_hot_v", fold(F.col("_hot_v")).over(before)), by)
         both = {
-            "sum": F.coalesce(F.col(name) + F.col("_v"), F.col(name), F.col("_v")),
-            "max": F.greatest(name, "_v"),
-            "min": F.least(name, "_v"),
-            "last": F.coalesce(name, "_v"),
+            "sum": F.coalesce(F.col(name) + F.col("_hot_v"), F.col(name), F.col("_hot_v")),
+            "max": F.greatest(name, "_hot_v"),
+            "min": F.least(name, "_hot_v"),
+            "last": F.coalesce(name, "_hot_v"),
         }[kind]
-        return self._with(joined.withColumn(name, both).drop("_v"))
+        return self._with(joined.withColumn(name, both).drop("_hot_v"))
 
     def beside(self, name: str, value: Column, step: int = 1, by: Sequence[str] | None = None) -> Cut:
         """name: value of the next row (step 1) or the one before (step -1); null where there is none."""
@@ -88,21 +88,21 @@ class Cut:
         if not self.shards:
             return self._with(own.withColumn(name, F.col(f"{name}.v")))
         first = F.row_number().over(self._window(by, reverse=step == -1))
-        ends = self.df.select(*by, _SHARD, packed.alias("_v"), first.alias("_n")).where("_n = 1").drop("_n")
+        ends = self.df.select(*by, _SHARD, packed.alias("_hot_v"), first.alias("_hot_n")).where("_hot_n = 1").drop("_hot_n")
         over = Window.partitionBy(*by).orderBy(_SHARD)
-        ends = self._every_shard(ends, by, ["_v"])
-        far = F.first("_v", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)) if step == 1 else F.last("_v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
-        joined = self._joined(own, ends.withColumn("_v", far), by)
-        return self._with(joined.withColumn(name, F.coalesce(name, "_v")["v"]).drop("_v"))
+        ends = self._every_shard(ends, by, ["_hot_v"])
+        far = F.first("_hot_v", ignorenulls=True).over(over.rowsBetween(1, Window.unboundedFollowing)) if step == 1 else F.last("_hot_v", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+        joined = self._joined(own, ends.withColumn("_hot_v", far), by)
+        return self._with(joined.withColumn(name, F.coalesce(name, "_hot_v")["v"]).drop("_hot_v"))
 
     def _every_shard(self, ends: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
         """ends with a row for each shard that has rows, also those without a value: rows are joined to it."""
-        return self.df.select(*by, _SHARD).distinct().alias("_all").join(ends.select(*[F.col(b).alias(f"_r{b}") for b in [*by, _SHARD]], *values), _same([*by, _SHARD], "_r"), "left").select(*by, _SHARD, *values)
+        return self.df.select(*by, _SHARD).distinct().alias("_all").join(ends.select(*[F.col(b).alias(f"_hotkey_{b}") for b in [*by, _SHARD]], *values), _same([*by, _SHARD], "_hotkey_"), "left").select(*by, _SHARD, *values)
 
     def _joined(self, own: DataFrame, carried: DataFrame, by: Sequence[str]) -> DataFrame:
         names = [*by, _SHARD]
-        right = carried.select(*[F.col(b).alias(f"_r{b}") for b in names], "_v")
-        return own.join(right, _same(names, "_r"), "left").drop(*[f"_r{b}" for b in names])
+        right = carried.select(*[F.col(b).alias(f"_hotkey_{b}") for b in names], "_hot_v")
+        return own.join(right, _same(names, "_hotkey_"), "left").drop(*[f"_hotkey_{b}" for b in names])
 
     def done(self) -> DataFrame:
         return self.df.drop(_SHARD) if self.shards else self.df
@@ -115,18 +115,18 @@ def _reversed(column: Column) -> Column:
 
 def _sharded(df: DataFrame, by: Sequence[str], at: Column, hot: int) -> tuple[DataFrame, bool]:
     """df, with _shard where any key has more than hot rows, and whether it has."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
-    most = sizes.agg(F.max("_n")).first()[0]
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_hot_n")).where(F.col("_hot_n") > hot)
+    most = sizes.agg(F.max("_hot_n")).first()[0]
     if most is None:
         return df, False
     parts = min(MOST_CUTS, -(-2 * most // hot))
     shares = [i / parts for i in range(1, parts)]
-    large = sizes.select(*[F.col(b).alias(f"_r{b}") for b in by])
-    cuts = df.withColumn("_place", at).join(large, _same(by, "_r"), "left_semi").groupBy(*by).agg(F.percentile_approx("_place", shares, max(10_000, 4 * parts)).alias("_cuts"))
-    cuts = cuts.select(*[F.col(b).alias(f"_r{b}") for b in by], F.array_distinct("_cuts").alias("_cuts"))
-    joined = df.withColumn("_place", at).join(cuts, _same(by, "_r"), "left")
+    large = sizes.select(*[F.col(b).alias(f"_hotkey_{b}") for b in by])
+    cuts = df.withColumn("_hot_at", at).join(large, _same(by, "_hotkey_"), "left_semi").groupBy(*by).agg(F.percentile_approx("_hot_at", shares, max(10_000, 4 * parts)).alias("_hot_cuts"))
+    cuts = cuts.select(*[F.col(b).alias(f"_hotkey_{b}") for b in by], F.array_distinct("_hot_cuts").alias("_hot_cuts"))
+    joined = df.withColumn("_hot_at", at).join(cuts, _same(by, "_hotkey_"), "left")
     # a row's shard is how many cuts lie at or below it
-    place = F.size(F.filter("_cuts", lambda c: c <= F.col("_place")))
-    shard = F.when(F.col("_cuts").isNull() | F.col("_place").isNull(), F.lit(0)).otherwise(place)
+    place = F.size(F.filter("_hot_cuts", lambda c: c <= F.col("_hot_at")))
+    shard = F.when(F.col("_hot_cuts").isNull() | F.col("_hot_at").isNull(), F.lit(0)).otherwise(place)
     # written once: quantiles computed again could cut elsewhere
-    return cut_lineage(joined.withColumn(_SHARD, shard).drop("_cuts", "_place", *[f"_r{b}" for b in by])), True
+    return cut_lineage(joined.withColumn(_SHARD, shard).drop("_hot_cuts", "_hot_at", *[f"_hotkey_{b}" for b in by])), True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronoloom.functions.scalars import at_cap, contains_any, flag_names, scope_kind, speedup_ceiling
+from chronoloom.functions.scalars import at_cap, contains_any, flag_names, role, scope_kind, speedup_ceiling
 from chronoloom.operators.asof import backward
 from chronoloom.operators.calltree import rollup, self_times
 from chronoloom.operators.dist import busiest, distribution, histogram, milliseconds
@@ -62,7 +62,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 
 def frame_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean = F.sum(F.col("end_cycle") - F.col("begin_cycle")) * F.lit(1000.0) / (F.max("cycle_frequency") * F.count(F.lit(1)))
-    return distribution(frames(spark, sf_dir), ["capture_id", "tid", "frame_type"], "ms", BUDGET, mean)
+    return distribution(cut_lineage(frames(spark, sf_dir).select("capture_id", "tid", "frame_type", "begin_cycle", "end_cycle", "cycle_frequency", "ms")), ["capture_id", "tid", "frame_type"], "ms", BUDGET, mean)
 
 
 def frame_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,11 +192,11 @@ def _partners(closed: DataFrame) -> DataFrame:
     return pairs.groupBy("capture_id", "frame_id").agg(F.count(F.lit(1)).alias("partners"), best).select("capture_id", "frame_id", "partners", "_best.partner", F.col("_best.work").alias("partner_work"))
 
 
-def bottleneck_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """within, or what a game-thread frame over budget was bound by: own work, a partner's work, GPU work, else unexplained."""
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every game-thread frame with its verdict: within, or what it was bound by: own work, a partner's work, GPU work, else unexplained."""
     closed = closed_frames(spark, sf_dir)
-    own = closed.where("frame_type = 0").select("capture_id", "frame_id", "ms", "cycle_frequency", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"))
-    partners = _partners(closed).select("frame_id", "partner_work")
+    own = closed.where("frame_type = 0").select("capture_id", "frame_id", "begin_cycle", "ms", "cycle_frequency", (F.col("covered_cycles") - F.col("wait_cycles")).alias("work"))
+    partners = _partners(closed).select("frame_id", "partner", "partner_work")
     gpu = _gpu_in(spark, sf_dir, closed).select("frame_id", "gpu_us")
     rows = own.join(partners, "frame_id", "left").join(gpu, "frame_id", "left")
     in_ms = lambda c: F.col(c) * F.lit(1000.0) / F.col("cycle_frequency")
@@ -207,7 +207,31 @@ def bottleneck_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("gpu_us") / 1000.0 >= BUDGET, "gpu")
         .otherwise("unexplained")
     )
-    return rows.select("capture_id", verdict.alias("verdict")).groupBy("capture_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return rows.withColumn("verdict", verdict)
+
+
+def bottleneck_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many frames of each capture fall to each verdict."""
+    return _judged(spark, sf_dir).groupBy("capture_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def frame_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the longest frames with their verdict and partner: (longest, begin, id)."""
+    rows = _judged(spark, sf_dir).orderBy(F.col("ms").desc(), "begin_cycle", "frame_id").limit(OUTLIERS)
+    return rows.select("frame_id", "capture_id", "ms", "verdict", "partner", "gpu_us")
+
+
+#: What the threads of the tables are called, as far as their numbers say.
+THREAD_NAMES = {2: "GameThread", 17: "RHIThread", 98: "RenderThread 1"}
+
+
+def chosen_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series that reports are made of: the thread whose name reads as the game's with most frames, else the busiest."""
+    known = F.create_map(*[F.lit(x) for pair in THREAD_NAMES.items() for x in pair])
+    name = F.coalesce(F.try_element_at(known, F.col("tid")), F.concat(F.lit("Worker "), F.col("tid").cast("string")))
+    counted = closed_frames(spark, sf_dir).groupBy("capture_id", "tid", "frame_type").agg(F.count(F.lit(1)).alias("n")).withColumn("role", role(name))
+    order = Window.partitionBy("capture_id").orderBy((F.coalesce(F.col("role") == "game", F.lit(False))).desc(), F.col("n").desc(), "tid", "frame_type")
+    return counted.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +248,11 @@ def frame_self_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("frame_id").agg(F.count(F.lit(1)).alias("roots"), F.sum("self").alias("self"))
 
 
+def frames_by_self(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the frames with most self time: (self, id)."""
+    return frame_self_time(spark, sf_dir).where("self is not null").orderBy(F.col("self").desc(), "frame_id").limit(OUTLIERS)
+
+
 def top_self_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the nodes with most self time: (self, inclusive, smaller spec, smaller id)."""
     rows = self_times(_nodes(spark, sf_dir)).where("self is not null").select("node_id", "frame_id", "spec", "inclusive", "self")
@@ -416,7 +445,7 @@ QUERIES = {
     for f in (
         frame_distribution, frame_histogram, busiest_series, over_budget_frames, verdict_counts, frame_numbering, warm_up, display_cap, series_stats, run_spread,
         queue_totals, queue_frame_placement, gpu_frames_usable, queue_passes, clock_scale, partner_frames, bottleneck_verdicts,
-        call_tree, frame_self_time, top_self_nodes, frame_work_topn, scope_kinds, candidates, dimension_misses,
+        call_tree, frame_self_time, frames_by_self, top_self_nodes, frame_verdicts, chosen_series, frame_work_topn, scope_kinds, candidates, dimension_misses,
         dedupe_last_definition, event_schema_counts, serial_gaps, csv_series, dominant_emitter, channel_verdicts, critical_path, queue_lag, parallelism_threads, label_facts,
     )
 }
@@ -466,6 +495,15 @@ SELECT *, coalesce(abs(scale - 1) <= 0.25, false) AS accepted FROM (SELECT captu
     + f"""SELECT fr.capture_id, CASE WHEN ms <= {BUDGET!r} THEN 'within' WHEN (covered_cycles - wait_cycles) * 1000.0::DOUBLE / f >= {BUDGET!r} THEN 'game'
   WHEN best.work * 1000.0::DOUBLE / f >= {BUDGET!r} THEN 'render' WHEN gpu_us / 1000.0::DOUBLE >= {BUDGET!r} THEN 'gpu' ELSE 'unexplained' END AS verdict, count(*) AS n
   FROM fr LEFT JOIN best ON best.frame_id = fr.frame_id AND best.k = 1 LEFT JOIN pl ON pl.frame_id = fr.frame_id WHERE frame_type = 0 AND ms IS NOT NULL GROUP BY ALL""",
+    "frame_verdicts": _FR
+    + _PARTNER
+    + _PLACED
+    + f"""SELECT fr.frame_id, fr.capture_id, ms, CASE WHEN ms <= {BUDGET!r} THEN 'within' WHEN (covered_cycles - wait_cycles) * 1000.0::DOUBLE / f >= {BUDGET!r} THEN 'game'
+  WHEN best.work * 1000.0::DOUBLE / f >= {BUDGET!r} THEN 'render' WHEN gpu_us / 1000.0::DOUBLE >= {BUDGET!r} THEN 'gpu' ELSE 'unexplained' END AS verdict, best.partner, gpu_us
+  FROM fr LEFT JOIN best ON best.frame_id = fr.frame_id AND best.k = 1 LEFT JOIN pl ON pl.frame_id = fr.frame_id WHERE frame_type = 0 AND ms IS NOT NULL ORDER BY ms DESC, fr.begin_cycle, fr.frame_id LIMIT {OUTLIERS}""",
+    "chosen_series": _FR + """SELECT capture_id, tid, frame_type, n, role FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY coalesce(role, '') = 'game' DESC, n DESC, tid, frame_type) AS k
+  FROM (SELECT capture_id, tid, frame_type, count(*) AS n, CASE tid WHEN 2 THEN 'game' WHEN 17 THEN 'rhi' WHEN 98 THEN 'render' END AS role FROM fr WHERE ms IS NOT NULL GROUP BY ALL)) WHERE k = 1""",
+    "frames_by_self": "WITH " + _N + f" SELECT frame_id, count(*) AS roots, sum(self) AS self FROM st WHERE parent_node_id IS NULL GROUP BY frame_id HAVING sum(self) IS NOT NULL ORDER BY self DESC, frame_id LIMIT {OUTLIERS}",
     "call_tree": "WITH RECURSIVE "
     + _N
     + """, r AS (SELECT st.*, 1 AS level, CAST(coalesce(spec, -1) AS VARCHAR) AS path FROM st WHERE parent_node_id IS NULL

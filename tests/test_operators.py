@@ -123,6 +123,9 @@ def test_distribution_and_histogram(spark):
     df = spark.createDataFrame([("a", v) for v in [*x, None]] + [("b", 300.0)], "k string, v double")
     r = dist.distribution(df, ["k"], "v", 6.0).where("k = 'a'").first()
     assert (r.n, r.p50, r.p95, r.p99, r.over, r.hitches) == (20, 10, 19, 20, 14, 8)
+    many = spark.createDataFrame([(k, float(i * 7919 % 500)) for k in ("a", None) for i in range(900)], "k string, v double")
+    key = lambda hot: sorted(map(str, dist.nearest_ranks(many, ["k"], "v", (0.001, 0.5, 0.95, 1.0), hot).collect()))
+    assert key(50) == key(10**6) and "r0=0.0, r1=249.0, r2=" in key(50)[0]
     bins = {r.bin: (r.low, r.high, r.n) for r in dist.histogram(df, ["k"], "v", 6.0).where("k = 'a'").collect()}
     assert bins == {0: (0, 3, 2), 1: (3, 6, 3), 2: (6, 12, 6), 3: (12, None, 9)}
     assert dist.Budget.of().ms == 1000 / 60 and dist.Budget.of(ms=5).explicit
