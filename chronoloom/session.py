@@ -11,6 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def build_session(app: str = "chronoloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the defaults the operators assume: UTC and AQE with skew handling."""
     builder = SparkSession.builder.appName(app)
@@ -22,6 +25,7 @@ def build_session(app: str = "chronoloom", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # a checkpoint goes when nothing refers to it any more
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,  # keyed state by key, not whole
         **conf,
     }
     return builder.config(map=settings).getOrCreate()

@@ -27,7 +27,13 @@ def test_stacks_and_maps_live_across_batches(spark, tmp_path):
     assert closed == {(1, 15), (2, 3), (1, 20)}
     rng = random.Random(2)
     spans = [("k", b := rng.randrange(300), b + rng.randrange(20)) for _ in range(90)]
-    rows = run(spark, tmp_path, "entity string, b long, e long", [spans[:40], spans[40:] + spans[:5]], stream_periods, "update", "maps")
+    for shard in (10, 7_000):
+        rows = run(spark, tmp_path, "entity string, b long, e long", [spans[:40], spans[40:] + spans[:5]], lambda s: stream_periods(s, shard=shard), "update", f"maps{shard}")
+        whole = IntervalMap()
+        for _, b, e in spans:
+            whole.insert(b, e)
+        last = max(rows, key=lambda r: r.covered)
+        assert (last.periods, last.covered, last.gaps_us, last.first, last.last) == (len(whole.periods()), sum(e - b for b, e in whole.periods()), sum(e - b for b, e in whole.gaps()), whole.starts[0], whole.ends[-1])
     want = IntervalMap()
     for _, b, e in spans:
         want.insert(b, e)
