@@ -532,7 +532,7 @@ SELECT * FROM (SELECT capture_id, name, cycles, round(cycles / total, 6) AS shar
     "csv_series": """WITH v AS (SELECT DISTINCT ON (value_id) * FROM csv_values), f AS (SELECT DISTINCT ON (frame_id) capture_id, frame_id, begin_cycle FROM frames WHERE frame_type = 0),
 b AS (SELECT capture_id, begin_cycle, max(frame_id) AS frame_id FROM f GROUP BY ALL),
 p AS (SELECT v.*, b.frame_id FROM v ASOF LEFT JOIN b ON v.capture_id = b.capture_id AND v.cycle >= b.begin_cycle WHERE value IS NOT NULL)
-SELECT capture_id, stat, frame_id, count(*) AS n, round(CASE WHEN max(kind) = 'timer' THEN sum(value) ELSE arg_max(value, (seq, value_id)) END, 5) AS value FROM p GROUP BY ALL""",
+SELECT capture_id, stat, frame_id, count(*) AS n, round(CASE WHEN max(kind) = 'timer' THEN sum(value) ELSE list_reduce(list({'op': coalesce(op, 0), 'value': value} ORDER BY seq, value_id), lambda a, x: {'op': 0, 'value': CASE x.op WHEN 1 THEN least(a.value, x.value) WHEN 2 THEN greatest(a.value, x.value) WHEN 3 THEN a.value + x.value ELSE x.value END}).value END, 5) AS value FROM p GROUP BY ALL""",
     "dominant_emitter": "SELECT capture_id, tid, n, first_seen FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY n DESC, first_seen, tid) AS k FROM (SELECT capture_id, tid, count(DISTINCT value_id) AS n, min(cycle) AS first_seen FROM csv_values GROUP BY ALL)) WHERE k = 1",
     "channel_verdicts": "WITH h AS ("
     + " UNION ALL ".join(f"SELECT capture_id, '{t}' AS channel, count(DISTINCT {k}) AS n FROM {t} GROUP BY capture_id" for t, k in (("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id")))
