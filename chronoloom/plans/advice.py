@@ -53,7 +53,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     gpu = cap.once_gpu_frames(spark, sf_dir).groupBy("capture_id").agg(F.count(F.lit(1)).alias("gpu_frames"), F.sum(F.col("unbalanced") + F.col("truncated")).alias("_odd"))
     types = table(spark, sf_dir, "event_types").dropDuplicates(["capture_id", "seq"]).groupBy("capture_id").agg(F.count_if(F.col("fields").isNull()).alias("_broken"), F.count_if(F.col("logger") == "TaskTrace").alias("task_types"))
     values = table(spark, sf_dir, "csv_values").groupBy("capture_id").agg(F.count(F.lit(1)).alias("csv_values"))
-    lone = cap.parallelism_threads(spark, sf_dir).select("capture_id", (F.col("solo") / F.nullif(F.col("solo") + F.col("shared"), F.lit(0))).alias("solo_share"), "peak")
+    lone = cap.parallelism_threads(spark, sf_dir).select("capture_id", (F.col("solo") / F.nullif(F.col("solo") + F.col("shared"), F.lit(0))).alias("solo_share"), "threads_working")
     first = cap.candidates(spark, sf_dir).where("place = 1").select("capture_id", F.col("share").alias("owner_share"), F.col("name").alias("owner"))
     out = cap.captures(spark, sf_dir).select("capture_id", "cycle_frequency")
     parts = (
@@ -83,7 +83,7 @@ def _rules(stats: int, explicit_budget: bool) -> list[tuple[str | Column, str |
         ("bound-thread", majority, "medium", "certain", (c("led") > 0) & (c("leader") != "unexplained"), c("led") / c("judged")),
         ("bound-unexplained", majority, "medium", "unknown", (c("led") > 0) & (c("leader") == "unexplained"), c("led") / c("judged")),
         ("one-timer", "high", "medium", "heuristic", c("owner_share") >= OWNER, c("owner_share")),
-        ("workers-idle", "high", "high", "certain", (c("peak") >= 2) & (c("solo_share") >= SOLO), c("solo_share")),
+        ("workers-idle", "high", "high", "certain", (c("threads_working") >= 2) & (c("solo_share") >= SOLO), c("solo_share")),
         ("sync-load", "medium", "high", "heuristic", c("load_share") >= OVER, c("load_share")),
         ("async-loading", "medium", "high", "heuristic", c("streaming_share") >= OWNER, c("streaming_share")),
         ("gpu-unknown", "medium", "low", "unknown", none("gpu_frames"), zero),
@@ -112,7 +112,7 @@ def metric_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """capture_id, section, key, unit, lower_is_better, value: every comparable number of a capture that was measured."""
     rows = cut_lineage(_series(spark, sf_dir))
     work = cap.once(spark, sf_dir, "nodes", "node_id").groupBy("capture_id").agg(F.count("spec").alias("pairs"), (F.count_if(F.col("spec").isNull()) / F.count(F.lit(1))).alias("lost"))
-    lone = cap.parallelism_threads(spark, sf_dir).select("capture_id", (F.col("solo") / F.nullif(F.col("solo") + F.col("shared"), F.lit(0))).alias("solo"), "peak")
+    lone = cap.parallelism_threads(spark, sf_dir).select("capture_id", (F.col("solo") / F.nullif(F.col("solo") + F.col("shared"), F.lit(0))).alias("solo"), "threads_working")
     files = src.timers(spark, sf_dir).groupBy("capture_id").agg((F.count("path") / F.count(F.lit(1))).alias("located"), F.countDistinct("path").alias("files"))
     number = lambda name: F.col(name).cast("double")
 
@@ -123,7 +123,7 @@ def metric_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         said(_distribution(rows), "frames", ("count", "count", False, number("n")), ("p50_ms", "ms", True, F.col("p50")), ("p95_ms", "ms", True, F.col("p95")), ("p99_ms", "ms", True, F.col("p99")), ("max_ms", "ms", True, F.col("most")), ("over", "count", True, number("over")), ("hitches", "count", True, number("hitches")))
         .unionByName(said(work, "work", ("pairs", "count", False, number("pairs")), ("unattributed_share", "share", True, F.round("lost", 6))))
-        .unionByName(said(lone, "occupancy", ("solo_share", "share", True, F.round("solo", 6)), ("threads_working", "threads", False, number("peak"))))
+        .unionByName(said(lone, "occupancy", ("solo_share", "share", True, F.round("solo", 6)), ("threads_working", "threads", False, number("threads_working"))))
         .unionByName(said(files, "sources", ("located_share", "share", False, F.round("located", 6)), ("files", "count", False, number("files"))))
     )
 
@@ -206,7 +206,7 @@ _FACTS = (
 cs AS (SELECT capture_id, max(c) FILTER (WHERE z IS NOT NULL) / sum(c) AS cap_share FROM (SELECT capture_id, z, count(*) AS c FROM cz GROUP BY ALL) GROUP BY ALL),
 bv AS (SELECT capture_id, arg_max(verdict, (n, verdict)) AS leader, max(n) AS led, sum(n) AS judged FROM ({_O["bottleneck_verdicts"]}) GROUP BY capture_id),
 ca AS (SELECT capture_id, share AS owner_share FROM ({_O["candidates"]}) WHERE place = 1),
-pa AS (SELECT capture_id, solo / nullif(solo + shared, 0) AS solo_share, peak FROM ({_O["parallelism_threads"]})),
+pa AS (SELECT capture_id, solo / nullif(solo + shared, 0) AS solo_share, threads_working FROM ({_O["parallelism_threads"]})),
 pl AS (SELECT capture_id, owned FROM ({_O["pattern_presence"]}) WHERE pattern = 'sync-load'),
 kpt AS (SELECT capture_id, frame_id, tid, end_cycle - begin_cycle AS span, ms > {BUDGET!r} AS over, row_number() OVER (PARTITION BY capture_id, tid ORDER BY ms DESC, begin_cycle, frame_type, frame_id) AS k FROM fr WHERE ms > 0),
 sp AS (SELECT capture_id, sum(span) AS span FROM kpt WHERE k <= 16 GROUP BY ALL),
@@ -216,7 +216,7 @@ sl AS (SELECT capture_id, count(*) FILTER (WHERE spec IS NULL) AS specless FROM
 gg AS (SELECT capture_id, count(*) AS gpu_frames, sum(unbalanced + truncated) AS odd FROM (SELECT DISTINCT ON (gpu_frame_id) * FROM gpu_frames) GROUP BY ALL),
 et AS (SELECT capture_id, count(*) FILTER (WHERE fields IS NULL) AS broken, count(*) FILTER (WHERE logger = 'TaskTrace') AS task_types FROM (SELECT DISTINCT ON (capture_id, seq) * FROM event_types) GROUP BY ALL),
 vs AS (SELECT capture_id, count(*) AS csv_values FROM csv_values GROUP BY ALL), ss AS (SELECT count(*) AS stats FROM csv_stats),
-fx AS (SELECT c.capture_id, c.f, (SELECT count(*) FROM se WHERE se.capture_id = c.capture_id) AS frames, di.* EXCLUDE capture_id, cap_share, leader, led, judged, owner_share, solo_share, peak, owned / span AS load_share, streaming_share, specless, gpu_frames, coalesce(odd, 0) + coalesce(broken, 0) AS anomalies, task_types, csv_values, stats
+fx AS (SELECT c.capture_id, c.f, (SELECT count(*) FROM se WHERE se.capture_id = c.capture_id) AS frames, di.* EXCLUDE capture_id, cap_share, leader, led, judged, owner_share, solo_share, threads_working, owned / span AS load_share, streaming_share, specless, gpu_frames, coalesce(odd, 0) + coalesce(broken, 0) AS anomalies, task_types, csv_values, stats
   FROM c CROSS JOIN ss LEFT JOIN di USING (capture_id) LEFT JOIN cs USING (capture_id) LEFT JOIN bv USING (capture_id) LEFT JOIN ca USING (capture_id) LEFT JOIN pa USING (capture_id) LEFT JOIN sp USING (capture_id) LEFT JOIN pl USING (capture_id) LEFT JOIN st USING (capture_id) LEFT JOIN sl USING (capture_id) LEFT JOIN gg USING (capture_id) LEFT JOIN et USING (capture_id) LEFT JOIN vs USING (capture_id))
 """
 )
@@ -225,17 +225,17 @@ _SQL_RULES = [
     ("frame-cap", "'high'", "low", "heuristic", "cap_share >= 0.25", "cap_share"), ("over-budget", "CASE WHEN over / n > 0.5 THEN 'high' ELSE 'medium' END", "medium", "certain", "over / n >= 0.05", "over / n"),
     ("tail-vs-mean", "'medium'", "medium", "certain", "over > 0 AND p50 > 0 AND p99 >= 2 * p50", "p99 / p50"), ("hitches", "'medium'", "medium", "certain", "hitches >= 1", "hitches"), ("thin-sample", "'low'", "low", "certain", "n < 100", "n"),
     ("bound-thread", "CASE WHEN led * 2 > judged THEN 'high' ELSE 'medium' END", "medium", "certain", "leader <> 'unexplained'", "led / judged"), ("bound-unexplained", "CASE WHEN led * 2 > judged THEN 'high' ELSE 'medium' END", "medium", "unknown", "leader = 'unexplained'", "led / judged"),
-    ("one-timer", "'high'", "medium", "heuristic", "owner_share >= 0.25", "owner_share"), ("workers-idle", "'high'", "high", "certain", "peak >= 2 AND solo_share >= 0.8", "solo_share"), ("sync-load", "'medium'", "high", "heuristic", "load_share >= 0.05", "load_share"),
+    ("one-timer", "'high'", "medium", "heuristic", "owner_share >= 0.25", "owner_share"), ("workers-idle", "'high'", "high", "certain", "threads_working >= 2 AND solo_share >= 0.8", "solo_share"), ("sync-load", "'medium'", "high", "heuristic", "load_share >= 0.05", "load_share"),
     ("async-loading", "'medium'", "high", "heuristic", "streaming_share >= 0.25", "streaming_share"), ("gpu-unknown", "'medium'", "low", "unknown", "coalesce(gpu_frames, 0) = 0", "0"), ("task-unknown", "'low'", "low", "unknown", "coalesce(task_types, 0) = 0", "0"),
     ("csv-no-values", "'low'", "medium", "certain", "coalesce(csv_values, 0) = 0 AND stats > 0", "stats"), ("attribution-gaps", "'low'", "medium", "certain", "specless > 0", "specless"), ("anomalies", "'medium'", "low", "certain", "anomalies > 0", "anomalies"),
 ]
 _VECTOR = (
     _DISTRIBUTED
     + f""", nn AS (SELECT DISTINCT ON (node_id) * FROM nodes), wo AS (SELECT capture_id, count(spec) AS pairs, count(*) FILTER (WHERE spec IS NULL) / count(*) AS lost FROM nn GROUP BY ALL),
-pa AS (SELECT capture_id, solo / nullif(solo + shared, 0) AS solo, peak FROM ({_O["parallelism_threads"]})), fi AS (SELECT capture_id, count(path) / count(*) AS located, count(DISTINCT path) AS files FROM ({src._TIMERS} SELECT capture_id, path FROM tm) GROUP BY ALL),
+pa AS (SELECT capture_id, solo / nullif(solo + shared, 0) AS solo, threads_working FROM ({_O["parallelism_threads"]})), fi AS (SELECT capture_id, count(path) / count(*) AS located, count(DISTINCT path) AS files FROM ({src._TIMERS} SELECT capture_id, path FROM tm) GROUP BY ALL),
 mv AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT capture_id, '{s}' AS section, '{s}.{k}' AS key, '{u}' AS unit, {low} AS lower_is_better, CAST({v} AS DOUBLE) AS value FROM {t}" for s, k, u, low, v, t in (
     ("frames", "count", "count", "false", "n", "di"), ("frames", "p50_ms", "ms", "true", "p50", "di"), ("frames", "p95_ms", "ms", "true", "p95", "di"), ("frames", "p99_ms", "ms", "true", "p99", "di"), ("frames", "max_ms", "ms", "true", "most", "di"), ("frames", "over", "count", "true", "over", "di"), ("frames", "hitches", "count", "true", "hitches", "di"),
-    ("work", "pairs", "count", "false", "pairs", "wo"), ("work", "unattributed_share", "share", "true", "round(lost, 6)", "wo"), ("occupancy", "solo_share", "share", "true", "round(solo, 6)", "pa"), ("occupancy", "threads_working", "threads", "false", "peak", "pa"),
+    ("work", "pairs", "count", "false", "pairs", "wo"), ("work", "unattributed_share", "share", "true", "round(lost, 6)", "wo"), ("occupancy", "solo_share", "share", "true", "round(solo, 6)", "pa"), ("occupancy", "threads_working", "threads", "false", "threads_working", "pa"),
     ("sources", "located_share", "share", "false", "round(located, 6)", "fi"), ("sources", "files", "count", "false", "files", "fi")))}) WHERE value IS NOT NULL)"""
 )
 _STATES = f"""WITH rg AS (SELECT DISTINCT capture_id, channel FROM event_types JOIN (VALUES {", ".join(f"('{k}', '{c}')" for k, cs in REGISTRY.items() for c in cs)}) v(logger, channel) USING (logger)),

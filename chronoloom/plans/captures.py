@@ -382,15 +382,21 @@ def queue_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parallelism_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per capture: cycles in which the game thread's frames run alone or beside others, the peak, and the gain that sharing the lone part out to four workers could bring at most."""
-    rows = frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_type", F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e"))
+    """Per capture: cycles in which the game thread's frames run alone or beside others, the peak, the commonest peak of a
+    frame (of equally common ones the smaller), and the gain that sharing the lone part out to as many threads, two at
+    least, could bring at most. A stretch of time belongs to the game frame that began last before it."""
+    rows = cut_lineage(frames(spark, sf_dir).where("ms is not null").select("capture_id", "frame_id", "frame_type", F.col("begin_cycle").alias("b"), F.col("end_cycle").alias("e")))
     own = (F.col("frame_type") == 0).cast("int")
-    open_ = segments(rows, ["capture_id"], {"own": own, "other": 1 - own})
+    open_ = cut_lineage(segments(rows, ["capture_id"], {"own": own, "other": 1 - own}))
     length = F.col("until") - F.col("t")
     when = lambda c: F.sum(F.when(c, length).otherwise(0))
     made = open_.groupBy("capture_id").agg(when((F.col("own") > 0) & (F.col("other") == 0)).alias("solo"), when((F.col("own") > 0) & (F.col("other") > 0)).alias("shared"), F.max(F.col("own") + F.col("other")).alias("peak"))
+    game = rows.where("frame_type = 0").select("capture_id", "frame_id", F.col("b").alias("f_b"))
+    placed = backward(open_.where("own > 0").select("capture_id", "t", (F.col("own") + F.col("other")).alias("n")), game, ["capture_id"], "t", "f_b", ["frame_id"])
+    peaks = placed.groupBy("capture_id", "frame_id").agg(F.max("n").alias("n")).groupBy("capture_id", "n").agg(F.count(F.lit(1)).alias("_c"))
+    common = peaks.groupBy("capture_id").agg(F.max_by("n", F.struct("_c", -F.col("n"))).alias("threads_working"))
     share = F.col("solo") / F.nullif(F.col("solo") + F.col("shared"), F.lit(0))
-    return made.withColumn("ceiling", F.round(speedup_ceiling(share, F.lit(4)), 6))
+    return made.join(common, "capture_id", "left").withColumn("ceiling", F.round(speedup_ceiling(share, F.greatest(F.lit(2), F.coalesce("threads_working", F.lit(2)))), 6))
 
 
 def label_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -549,8 +555,11 @@ SELECT *, round(lag_us / nullif(submits - unplaced, 0), 3) AS mean_us FROM (SELE
     + """, k AS (SELECT capture_id, t, sum(o) AS o, sum(x) AS x FROM (SELECT capture_id, begin_cycle AS t, CAST(frame_type = 0 AS INT) AS o, CAST(frame_type <> 0 AS INT) AS x FROM fr WHERE ms IS NOT NULL
   UNION ALL SELECT capture_id, end_cycle, -CAST(frame_type = 0 AS INT), -CAST(frame_type <> 0 AS INT) FROM fr WHERE ms IS NOT NULL) GROUP BY ALL),
 q AS (SELECT capture_id, t, lead(t) OVER w AS u, sum(o) OVER w AS o, sum(x) OVER w AS x FROM k WINDOW w AS (PARTITION BY capture_id ORDER BY t)),
-g AS (SELECT capture_id, sum(CASE WHEN o > 0 AND x = 0 THEN u - t ELSE 0 END) AS solo, sum(CASE WHEN o > 0 AND x > 0 THEN u - t ELSE 0 END) AS shared, max(o + x) AS peak FROM q WHERE u IS NOT NULL GROUP BY ALL)
-SELECT *, round(CASE WHEN solo <= 0 THEN 1.0 ELSE 1.0::DOUBLE / ((1 - solo / nullif(solo + shared, 0)) + solo / nullif(solo + shared, 0) / 4) END, 6) AS ceiling FROM g""",
+g AS (SELECT capture_id, sum(CASE WHEN o > 0 AND x = 0 THEN u - t ELSE 0 END) AS solo, sum(CASE WHEN o > 0 AND x > 0 THEN u - t ELSE 0 END) AS shared, max(o + x) AS peak FROM q WHERE u IS NOT NULL GROUP BY ALL),
+gf AS (SELECT capture_id, begin_cycle, max(frame_id) AS frame_id FROM fr WHERE ms IS NOT NULL AND frame_type = 0 GROUP BY ALL),
+pf AS (SELECT capture_id, frame_id, max(n) AS n FROM (SELECT q.capture_id, gf.frame_id, o + x AS n FROM (SELECT * FROM q WHERE u IS NOT NULL AND o > 0) q ASOF LEFT JOIN gf ON q.capture_id = gf.capture_id AND q.t >= gf.begin_cycle) GROUP BY ALL),
+cm AS (SELECT capture_id, arg_max(n, (c, -n)) AS threads_working FROM (SELECT capture_id, n, count(*) AS c FROM pf GROUP BY ALL) GROUP BY ALL)
+SELECT g.*, threads_working, round(CASE WHEN solo <= 0 THEN 1.0 ELSE 1.0::DOUBLE / ((1 - solo / nullif(solo + shared, 0)) + solo / nullif(solo + shared, 0) / greatest(2, coalesce(threads_working, 2))) END, 6) AS ceiling FROM g LEFT JOIN cm USING (capture_id)""",
     "label_facts": " UNION ALL ".join(
         f"SELECT '{t}' AS source_table, count(*) AS n, count(DISTINCT {k}) AS keys, count(DISTINCT capture_id) AS captures FROM {t}"
         for t, k in (("captures", "capture_id"), ("frames", "frame_id"), ("gpu_frames", "gpu_frame_id"), ("gpu_spans", "span_id"), ("nodes", "node_id"), ("passes", "pass_id"), ("csv_values", "value_id"))
