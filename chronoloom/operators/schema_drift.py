@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoloom.operators.hot import HOT, Cut
 from chronoloom.session import cut_lineage
 
 #: Where each type goes when it meets one it does not hold: the edges of the lattice, upwards, to types that hold every
@@ -133,7 +134,7 @@ def _differences(was: Column, now: Column) -> Column:
     )
 
 
-def changes(declared: DataFrame, lists: DataFrame, group: str, record: str, source: str, order: Sequence[str]) -> DataFrame:
+def changes(declared: DataFrame, lists: DataFrame, group: str, record: str, source: str, order: Sequence[str], hot: int = HOT) -> DataFrame:
     """group, source, record, field_name, change, at, union_type: how each declaration differs from the record's one before it.
 
     declared has one row per source and record with _shape, lists the fields of each shape. In the order of the order
@@ -145,9 +146,11 @@ def changes(declared: DataFrame, lists: DataFrame, group: str, record: str, sour
     values are cast. No declaration, no rows; the first one of a record is no change.
     """
     one_name = lambda a, b: a["name"].eqNullSafe(b["name"])
-    window = Window.partitionBy(group, record).orderBy(*order)
-    steps = declared.withColumn("_was", F.lag("_shape").over(window)).where("_was is not null and _was <> _shape")
     columns = [group, source, record]
+    # of the declarations of a record only the first, the last and those that differ from the one before are looked at again
+    cut = Cut(declared, [group, record], order, order[0], hot).beside("_was", F.col("_shape"), -1).beside("_next", F.col("_shape"))
+    points = cut_lineage(cut.done().where("_was is null or _next is null or _was <> _shape"))
+    steps = points.where("_was <> _shape")
 
     # each pair of shapes that follow one another is compared once
     once = lists.withColumn("fields", F.filter("fields", lambda x, i: ~F.exists(F.slice(F.col("fields"), 1, i), lambda y: one_name(x, y))))
@@ -155,17 +158,18 @@ def changes(declared: DataFrame, lists: DataFrame, group: str, record: str, sour
     pairs = pairs.join(once.select(F.col("_shape").alias("_was"), F.col("fields").alias("_before")), "_was").join(once.select("_shape", F.col("fields").alias("_now")), "_shape")
     pairs = pairs.select("_was", "_shape", _differences(F.col("_before"), F.col("_now")).alias("_found")).where("size(_found) > 0")
     log = steps.join(pairs, ["_was", "_shape"]).select(*columns, F.posexplode("_found").alias("at", "_row")).select(*columns, "_row.*", "at")
-    union = unions(declared, lists, group, record)
+    union = unions(points, lists, group, record)
     same = F.col(group).eqNullSafe(F.col("_group")) & (F.col(record) == F.col("_record")) & F.col("field_name").eqNullSafe(F.col("_name"))
     log = log.join(union, same, "left").select(*columns, "field_name", "change", "at", "union_type")
 
     # a record that starts with the shape another one ended with: only first and last declarations meet
     place = F.struct(*order)
-    lives = declared.groupBy(group, record).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.min_by("_shape", place).alias("began"), F.max_by("_shape", place).alias("ended"), F.min_by(source, place).alias(source))
+    begins = points.where("_was is null").select(*columns, F.col("_shape").alias("began"), place.alias("first"))
+    ended = points.where("_next is null").select(group, record, F.col("_shape").alias("ended"), place.alias("last"))
     # of the records that end alike the one that ended first answers whether any ended before
-    ends = lives.groupBy(F.col(group).alias("_group"), F.col("ended").alias("_ended")).agg(F.min("last").alias("_last"))
+    ends = ended.groupBy(F.col(group).alias("_group"), F.col("ended").alias("_ended")).agg(F.min("last").alias("_last"))
     met = F.col(group).eqNullSafe(F.col("_group")) & (F.col("began") == F.col("_ended"))
-    renamed = lives.join(ends, met).where(F.col("_last") < F.col("first"))
+    renamed = begins.join(ends, met).where(F.col("_last") < F.col("first"))
     types = renamed.select(*columns, F.lit("").alias("field_name"), F.lit("type_renamed").alias("change"), F.lit(0).alias("at"), F.lit(None).cast("string").alias("union_type"))
     return log.unionByName(types)
 
