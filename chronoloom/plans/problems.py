@@ -11,7 +11,7 @@ from chronoloom.operators.interval_map import periods_and_gaps
 from chronoloom.operators.records import latest_delivery, micros
 from chronoloom.operators.schema_drift import changes, consistent_fields, declarations, read_union
 from chronoloom.operators.spikes import implausible
-from chronoloom.session import cut_lineage, table
+from chronoloom.session import table, written
 
 
 def _declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -20,7 +20,7 @@ def _declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     types = table(spark, sf_dir, "event_types").select("capture_id", named.alias("full_name"), "seq", "fields", "ingested_at")
     captures = latest_delivery(table(spark, sf_dir, "captures"), ["capture_id"], "ingested_at", ["app", "started_at"])
     declared, lists = declarations(types, ["capture_id"], "full_name", "seq", "ingested_at")
-    return cut_lineage(declared.join(captures, "capture_id")), cut_lineage(lists)
+    return written(declared.join(captures, "capture_id")), written(lists)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,14 +52,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, by: str) -> DataFrame:
-    """df written once as a table below the checkpoint folder, cut into folders by a column, and read again.
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written once as a table below the checkpoint folder, in a folder for each value of by, and read again.
 
-    A filter on that column reads only its folders. The table goes when the session's JVM ends.
+    A filter on by reads only its folders; tables are smaller than checkpoints. The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
