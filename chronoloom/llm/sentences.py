@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -25,8 +25,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from chronoloom.session import cut_lineage
 
 LEAST_SEEN = 5
-MANY = 1e6  # events of a kind beyond which the least count rises with the root of their number
-MOST_ITEMS = 200_000  # of one kind in one language that the model holds, those with the greatest likelihood
 ALWAYS = 0.6
 ABBREVIATION = 0.3
 LIKELY = 7.88
@@ -324,8 +322,8 @@ def learned(df: DataFrame, text: str, lang: str) -> DataFrame:
     """language, kind ('abbreviation', 'starter', 'collocation'), item: what all documents together show.
 
     Every kind is learned per language and over all languages of a script (language 'script/'), for texts whose label
-    is missing or wrong. An item must be seen LEAST_SEEN times, and beyond MANY events of its kind more often by the root
-    of their number; of each kind and language the MOST_ITEMS with the greatest likelihood are held, which bounds the table.
+    is missing or wrong. The rules are the same for every size of the input: an item must be seen LEAST_SEEN times and be
+    likely enough, and all such items are held.
     Adverts ('advert', the cue's even text) are learned over all languages together (language '').
     """
     schema = StructType([StructField("language", StringType()), StructField("kind", StringType()), StructField("item", StringType()), StructField("n", LongType())])
@@ -340,42 +338,39 @@ def learned(df: DataFrame, text: str, lang: str) -> DataFrame:
     types = tokens.select("language", bare.alias("word"), F.when(dotted, F.col("n")).otherwise(0.0).alias("dots"), "n").where("word <> ''")
     types = types.groupBy("language", "word").agg(F.sum("dots").alias("both"), F.sum("n").alias("one"))
     sums = types.groupBy("language").agg(F.sum("both").alias("two"), F.sum("one").alias("n"))
-    floor = lambda total: F.lit(float(LEAST_SEEN)) * F.sqrt(F.greatest(F.lit(1.0), total / MANY))
-    typed = types.join(sums, "language").where(F.col("both") >= floor(F.col("two")))
+    typed = types.join(sums, "language").where(F.col("both") >= LEAST_SEEN)
     periods = F.length("word") - F.length(F.replace("word", F.lit("."), F.lit("")))
     letters = F.length("word") - periods
-    typed = typed.withColumn("score", _likelihood(F.col("both"), F.col("one"), F.col("two"), F.col("n")) * F.exp(-letters.cast("double")) * (periods + 1) * F.pow(letters.cast("double"), -(F.col("one") - F.col("both"))))
+    typed = typed.withColumn("score", _likelihood(F.col("both"), F.col("one"), F.col("two"), F.col("n")) * F.exp(-letters.cast("double")) * (periods + 1))
     starts = counts.where("kind in ('start', 'late')").groupBy("language", "item").agg(F.sum(F.when(F.col("kind") == "start", F.col("n")).otherwise(0.0)).alias("both"), F.sum("n").alias("heads"))
     words = tokens.select("language", F.regexp_replace("item", r"\.$", "").alias("item"), "n").groupBy("language", "item").agg(F.sum("n").alias("seen"))
     starts = starts.join(words, ["language", "item"], "left").withColumn("one", F.greatest(F.coalesce("seen", "heads"), "heads"))
     totals = starts.groupBy("language").agg(F.sum("both").alias("two"))
     found = starts.join(totals, "language").join(sums.select("language", "n"), "language")
-    found = found.where((F.col("both") >= floor(F.col("two"))) & (F.col("both") >= 0.2 * F.col("one")) & (F.col("both") >= 0.6 * F.col("heads")))
+    found = found.where((F.col("both") >= LEAST_SEEN) & (F.col("both") >= 0.2 * F.col("one")) & (F.col("both") >= 0.6 * F.col("heads")))
     found = found.withColumn("score", _likelihood(F.col("both"), F.col("one"), F.col("two"), F.greatest(F.col("n"), F.col("two") * 2))).where(F.col("score") > LIKELY)
-    starters = found.where("item <> '0'").select("language", F.lit("starter").alias("kind"), "item", "score")
+    starters = found.where("item <> '0'").select("language", F.lit("starter").alias("kind"), "item")
 
     pairs = counts.where("kind = 'pair'").select("language", F.substring_index("item", " ", 1).alias("word"), F.substring_index("item", " ", -1).alias("next"), F.col("n").alias("both"))
     # an abbreviation is often followed by what begins no sentence; a word that merely tends to come last is not
     inside = pairs.join(starters.select("language", F.col("item").alias("next")), ["language", "next"], "left_anti").groupBy("language", "word").agg(F.sum("both").alias("inside"))
-    likely = typed.where((F.col("score") >= ABBREVIATION) & (F.col("both") / F.col("one") > F.col("two") / F.col("n")) & ~F.col("word").endswith("."))
-    abbreviations = likely.join(inside, ["language", "word"]).where(F.col("inside") >= INSIDE * F.col("both")).select("language", F.lit("abbreviation").alias("kind"), F.col("word").alias("item"), "score")
+    mostly = (letters <= 1) | (F.col("both") >= ALWAYS * F.col("one"))  # a share: a number of bare ones would rule out more the larger the input
+    likely = typed.where((F.col("score") >= ABBREVIATION) & mostly & (F.col("both") / F.col("one") > F.col("two") / F.col("n")) & ~F.col("word").endswith("."))
+    abbreviations = likely.join(inside, ["language", "word"]).where(F.col("inside") >= INSIDE * F.col("both")).select("language", F.lit("abbreviation").alias("kind"), F.col("word").alias("item"))
     first = types.select("language", "word", F.col("both").alias("one"))
     paired = pairs.join(first, ["language", "word"]).join(words.withColumnRenamed("item", "next"), ["language", "next"]).join(sums.select("language", "n", "two"), "language")
-    paired = paired.where((F.col("both") >= floor(F.col("two"))) & (F.col("both") < F.col("one") + 1))
+    paired = paired.where((F.col("both") >= LEAST_SEEN) & (F.col("both") < F.col("one") + 1))
     paired = paired.withColumn("score", _likelihood(F.col("both"), F.greatest("one", "both"), F.greatest("seen", "both"), F.col("n")))
     paired = paired.where((F.col("score") > LIKELY) & (F.col("n") / F.col("one") > F.col("seen") / F.col("both")))
-    collocations = paired.select("language", F.lit("collocation").alias("kind"), F.concat("word", F.lit(" "), "next").alias("item"), "score")
+    collocations = paired.select("language", F.lit("collocation").alias("kind"), F.concat("word", F.lit(" "), "next").alias("item"))
 
     # an address that is said stands in ever other cues, one that is advertised always in the same
     stood = counts.where("kind = 'address' and endswith(language, '/')").groupBy("item").agg(F.sum("n").alias("n"))
     stood = stood.select(F.substring_index("item", " ", 1).alias("address"), F.expr("substring(item, instr(item, ' ') + 1)").alias("item"), "n")
     every = stood.groupBy("address").agg(F.sum("n").alias("one"))
     adverts = stood.join(every, "address").where((F.col("n") >= LEAST_SEEN) & (F.col("n") >= ALWAYS * F.col("one")))
-    adverts = adverts.groupBy("item").agg(F.max("n").alias("score")).select(F.lit("").alias("language"), F.lit("advert").alias("kind"), "item", "score")
-
-    best = Window.partitionBy("language", "kind").orderBy(F.col("score").desc(), "item")
-    every = abbreviations.unionByName(starters).unionByName(collocations).unionByName(adverts)
-    return every.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= MOST_ITEMS).select("language", "kind", "item")
+    adverts = adverts.select(F.lit("").alias("language"), F.lit("advert").alias("kind"), "item").distinct()
+    return abbreviations.unionByName(starters).unionByName(collocations).unionByName(adverts)
 
 
 class Splitter:

@@ -68,6 +68,25 @@ def test_learning_tells_abbreviations_from_last_words(spark):
     assert not {("abbreviation", w) for w in ("night", "again", "now", "below")} & found and ("starter", "Brask") not in found
 
 
+def test_learning_follows_one_rule_at_every_size(spark):
+    from chronoloom.llm.sentences import learned
+
+    small = spark.createDataFrame([(i, cue("Ask nr. Orla now.", "Ask nr. Venn now."), "en") for i in range(3)], "doc_id long, text string, lang string")
+    large = spark.sql("SELECT 9L AS doc_id, repeat('ok.\\nno\\n', 1500000) AS text, 'en' AS lang")  # 1.5 million periods
+    split = lambda df: {(r.doc_id, r.end_char) for r in sentence_ends(df, "doc_id", "text", "lang").collect()}
+    assert len(split(small)) == 6 and split(small) == split(small.unionByName(large))
+    lines = "concat_ws('\\n', transform(sequence(0, 2999), i -> concat('w', id * 500 + i div 6, 'k. Z', id * 500 + i div 6, 'h')))"
+    many = spark.range(0, 401, numPartitions=4).selectExpr(f"{lines} AS text", "'en' AS lang")  # each of 200,500 pairs six times
+    assert learned(many, "text", "lang").where("language = 'latin/en' and kind = 'collocation'").count() == 200_500
+
+
+def test_bare_forms_count_by_their_share_at_every_size(spark):
+    rows = [(i, cue("Ask st. 21 now.", "Ask st. 7 now.") if i < 10 else cue("Ask st now."), "en") for i in range(12)]
+    for copies in (1, 20):
+        df = spark.createDataFrame(rows * copies, "doc_id long, text string, lang string").coalesce(1)
+        assert sentence_ends(df, "doc_id", "text", "lang").count() == 22 * copies, copies
+
+
 def test_what_nobody_says():
     text = cue("[SIGHS]", "♪ la la ♪", "OLD MAN: The <i>boat.</i> (coughing)", "- He ran\n- We hid.", "*glass breaks*", "Subtitles by Team X - www.x.example")
     check(text, "en", "boat.", "ran", "hid.", "www.x.example")
